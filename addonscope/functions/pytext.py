@@ -77,6 +77,19 @@ def mask_source(source: Column) -> Column:
     )
 
 
+def code_source(source: Column) -> Column:
+    """Equally long text with only the comments replaced by fillers."""
+    return F.array_join(
+        F.transform(
+            F.regexp_extract_all(source, F.lit(_TOKENS), F.lit(0)),
+            lambda t: F.when(
+                t.startswith("#"), F.repeat(F.lit(COMMENT_FILL), F.length(t))
+            ).otherwise(t),
+        ),
+        "",
+    )
+
+
 def source_lines(content: Column) -> Column:
     """``ARRAY<STRUCT<text, masked>>``, one element per line."""
     src = normalized_source(content)
