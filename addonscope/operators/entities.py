@@ -110,9 +110,11 @@ def _is_text(value: Column) -> Column:
     return value["kind"].isin("string", "raw")
 
 
-def field_params(raw_type: Column, kw: Column, pos: Column) -> Column:
-    """``MAP<STRING, STRUCT<kind, text>>``: keyword and positional arguments by name."""
-    kind = F.lower(canonical_type(raw_type))
+def field_params(kind: Column, kw: Column, pos: Column) -> Column:
+    """``MAP<STRING, STRUCT<kind, text>>``: keyword and positional arguments by name.
+
+    ``kind`` is the lower-case canonical type.
+    """
     first, second = F.try_element_at(pos, F.lit(1)), F.try_element_at(pos, F.lit(2))
     relational = kind.isin(RELATIONAL_TYPES)
 
@@ -164,7 +166,9 @@ def fields(items: DataFrame) -> DataFrame:
         rows.withColumn("pieces", pytext.split_args(F.col("args.code"), F.col("args.masked")))
         .withColumn("kw", pytext.keyword_args(F.col("pieces")))
         .withColumn("pos", pytext.positional_args(F.col("pieces")))
-        .withColumn("p", field_params(F.col("raw_type"), F.col("kw"), F.col("pos")))
+        .withColumn("type", canonical_type(F.col("raw_type")))
+        .withColumn("kind", F.lower("type"))
+        .withColumn("p", field_params(F.col("kind"), F.col("kw"), F.col("pos")))
     )
     fallback = F.try_element_at("defaults", F.col("name"))
     no_default = F.coalesce(
@@ -175,7 +179,7 @@ def fields(items: DataFrame) -> DataFrame:
         *MODEL_KEY,
         "class_name",
         "name",
-        canonical_type(F.col("raw_type")).alias("type"),
+        "type",
         "raw_type",
         F.when(
             fallback.isNotNull() & no_default,

@@ -15,36 +15,42 @@ from addonscope.session import materialize
 def extract(files: DataFrame) -> dict[str, DataFrame]:
     """Entity tables of a corpus.
 
-    Source text is read twice in all: once for the class items (the only
-    shuffle of text) and once for the XML elements; both are written as tables,
-    and every entity is a projection of one of them or of ``files``.
+    Source text is read once for the class items (the only shuffle of text) and
+    once per other kind of file.  The entities are written as tables: many
+    operators share them, and each then starts from a pruned scan instead of
+    the whole extraction.  Methods stay a projection of the items, which
+    already hold their bodies.
     """
-    items = materialize(python_source.class_items(files), "items")
-    elements = materialize(xml_records.xml_elements(files), "elements")
-    dirs = materialize(modules.module_dirs(files), "dirs")
+
+    def table(name: str, rows: DataFrame) -> DataFrame:
+        return materialize(rows, name)
+
+    dirs = table("dirs", modules.module_dirs(files))
 
     def placed(rows: DataFrame) -> DataFrame:
         return modules.with_module(rows, dirs)
 
-    manifests = data_files.manifests(files)
-    fields = entities.fields(items)
+    items = table("items", python_source.class_items(files))
+    elements = table("elements", xml_records.xml_elements(files))
+    manifests = table("manifests", data_files.manifests(files))
+    fields = table("fields", entities.fields(items))
     return {
         "files": files,
         "items": items,
         "elements": elements,
         "dirs": dirs,
         "manifests": manifests,
-        "modules": modules.modules(files, manifests, dirs),
-        "models": placed(entities.models(items)),
+        "modules": table("modules", modules.modules(files, manifests, dirs)),
+        "models": table("models", placed(entities.models(items))),
         "fields": fields,
         "methods": entities.methods(items),
         "sql_constraints": entities.sql_constraints(items),
         "states": entities.states(fields),
         "views": xml_records.views(elements),
         "actions": xml_records.actions(elements),
-        "menus": xml_records.menus(elements),
-        "record_rules": placed(xml_records.record_rules(elements)),
-        "access_rights": placed(data_files.access_rights(files)),
+        "menus": table("menus", xml_records.menus(elements)),
+        "record_rules": table("record_rules", placed(xml_records.record_rules(elements))),
+        "access_rights": table("access_rights", placed(data_files.access_rights(files))),
         "translations": data_files.translations(files),
         "parse_errors": xml_records.xml_errors(elements),
     }
