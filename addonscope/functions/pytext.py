@@ -124,39 +124,57 @@ def line_offset(text: Column, position: Column) -> Column:
     return F.length(before) - F.length(F.translate(before, "\n", ""))
 
 
-_PUNCTUATION = r"[\[({\])},]|[^\[({\])},]+"
+_BRACKETS = r"[\[({\])}]|[^\[({\])}]++"
+_SEPARATORS = r"[\[({\])},:]|\blambda\b|(?:(?!\blambda\b)[^\[({\])},:])++"
 
 
-def _scan(masked: Column, commas: bool) -> Column:
-    """Positions found in one left-to-right pass that tracks bracket depth.
+def _depth_change(token: Column) -> Column:
+    return F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
 
-    ``commas``: every comma outside all brackets.  Otherwise: the place where
-    the bracket opened by the first character closes.
-    """
-    tokens = F.regexp_extract_all(masked, F.lit(_PUNCTUATION), F.lit(0))
+
+def _top_level_commas(masked: Column) -> Column:
+    """Positions of the commas outside all brackets and lambda parameter lists."""
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(1).alias("pos"), F.array().cast("array<int>").alias("hits")
+        F.lit(0).alias("depth"), F.lit(0).alias("params"), F.lit(1).alias("pos"),
+        F.array().cast("array<int>").alias("hits"),
     )
 
     def step(acc: Column, token: Column) -> Column:
-        opens = token.isin("(", "[", "{")
-        closes = token.isin(")", "]", "}")
-        if commas:
-            hit = (token == ",") & (acc["depth"] == 0)
-        else:
-            hit = closes & (acc["depth"] == 1)
+        top = acc["depth"] == 0
         return F.struct(
-            (acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            (acc["depth"] + _depth_change(token)).alias("depth"),
+            F.when(top & (token == "lambda"), acc["params"] + 1)
+            .when(top & (token == ":") & (acc["params"] > 0), acc["params"] - 1)
+            .otherwise(acc["params"])
+            .alias("params"),
             (acc["pos"] + F.length(token)).alias("pos"),
-            F.when(hit, F.array_append(acc["hits"], acc["pos"])).otherwise(acc["hits"]).alias("hits"),
+            F.when(
+                top & (acc["params"] == 0) & (token == ","),
+                F.array_append(acc["hits"], acc["pos"]),
+            ).otherwise(acc["hits"]).alias("hits"),
         )
 
+    tokens = F.regexp_extract_all(masked, F.lit(_SEPARATORS), F.lit(0))
     return F.aggregate(tokens, start, step, lambda acc: acc["hits"])
 
 
 def closing_position(masked: Column) -> Column:
     """1-based position where the bracket opened by the first character closes."""
-    return F.try_element_at(_scan(masked, commas=False), F.lit(1))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(1).alias("pos"), F.lit(None).cast("int").alias("end")
+    )
+
+    def step(acc: Column, token: Column) -> Column:
+        change = _depth_change(token)
+        closes = acc["end"].isNull() & (change == -1) & (acc["depth"] == 1)
+        return F.struct(
+            (acc["depth"] + change).alias("depth"),
+            (acc["pos"] + F.length(token)).alias("pos"),
+            F.when(closes, acc["pos"]).otherwise(acc["end"]).alias("end"),
+        )
+
+    tokens = F.regexp_extract_all(masked, F.lit(_BRACKETS), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda acc: acc["end"])
 
 
 def bracketed(code: Column, masked: Column, opening: str) -> Column:
@@ -205,7 +223,7 @@ def split_args(code: Column, masked: Column) -> Column:
         )
 
     bounds = F.concat(
-        F.array(F.lit(0)), _scan(masked, commas=True), F.array(F.length(masked) + 1)
+        F.array(F.lit(0)), _top_level_commas(masked), F.array(F.length(masked) + 1)
     )
     return F.filter(let(bounds, cut), lambda p: p["masked"].rlike(r"\S"))
 

@@ -150,6 +150,9 @@ def manifests(files: DataFrame) -> DataFrame:
         "repo",
         "path",
         T.dir_name(F.col("path")).alias("module_path"),
+        F.coalesce(1 + pytext.line_offset(F.col("masked"), F.col("inside.pos")), F.lit(1)).alias(
+            "dict_line"
+        ),
         *[F.coalesce(_value_text(entry(k)), F.lit("")).alias(k) for k in MANIFEST_STRINGS],
         *[_value_list(entry(k)).alias(k) for k in MANIFEST_LISTS],
         *[

@@ -68,6 +68,7 @@ def _declared_fields(items: DataFrame) -> DataFrame:
         args.alias("args"),
         "defaults",
         "line",
+        F.col("head_end").alias("end_line"),
         F.lit(False).alias("legacy"),
     )
 
@@ -91,6 +92,11 @@ def legacy_fields(items: DataFrame) -> DataFrame:
         )
         .where(F.col("e.masked").rlike(found))
     )
+    entries = entries.withColumn(
+        "at",
+        F.col("line")
+        + pytext.line_offset(F.col("code"), F.col("inside.pos") + F.col("e.pos") - 1),
+    )
     return entries.select(
         *MODEL_KEY,
         "class_name",
@@ -98,10 +104,10 @@ def legacy_fields(items: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract("e.masked", found, 1)).alias("raw_type"),
         pytext.bracketed(F.col("e.code"), F.col("e.masked"), "(").alias("args"),
         "defaults",
-        (
-            F.col("line")
-            + pytext.line_offset(F.col("code"), F.col("inside.pos") + F.col("e.pos") - 1)
-        ).alias("line"),
+        F.col("at").alias("line"),
+        (F.col("at") + pytext.line_offset(F.rtrim("e.code"), F.length("e.code") + 1)).alias(
+            "end_line"
+        ),
         F.lit(True).alias("legacy"),
     )
 
@@ -191,6 +197,7 @@ def fields(items: DataFrame) -> DataFrame:
         F.transform_values("p", lambda _, v: v["kind"]).alias("param_kinds"),
         "legacy",
         "line",
+        "end_line",
     )
 
 

@@ -20,7 +20,7 @@ from addonscope.rule_texts import CATALOGUE, DEFAULT_RULES, FINDINGS, LEVELS
 
 ISSUES = [
     "id", "rule_id", "severity", "category", "title", "description", "repo", "file", "line",
-    "code", "suggestion", "fixed_code", "entity",
+    "end_line", "code", "suggestion", "fixed_code", "entity",
 ]
 
 
@@ -41,6 +41,7 @@ class Rule:
     subject: Callable[[], Column]
     file: Callable[[], Column] = lambda: F.col("path")
     names: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    end: Callable[[], Column] | None = None
     severity: str = ""
     category: str = ""
     wording: tuple[str, str, str] | None = None
@@ -287,6 +288,7 @@ def _field_rule(rule_id: str, when: Callable[[], Column], type_column: str = "ty
         code=_cat(_col("name"), " = fields.", _col(type_column)),
         subject=_col("name"),
         names={"field": _col("name"), "type": _col("raw_type"), "capital": capital},
+        end=_col("end_line"),
     )
 
 
@@ -326,9 +328,9 @@ _RULES = [
     _decorator_rule("DEP003", "api.returns", ("api.multi", "api.one")),
     _model_rule("DEP004", "model", _col("legacy_base")),
     Rule("DEP005", "attribute", lambda: F.col("target") == "_columns", _col("line"),
-         lambda: F.trim(F.substring_index("code", "\n", 1)), _col("model")),
+         lambda: F.trim(F.substring_index("code", "\n", 1)), _col("model"), end=_col("end_line")),
     Rule("DEP006", "attribute", lambda: F.col("target") == "_defaults", _col("line"),
-         lambda: F.trim(F.substring_index("code", "\n", 1)), _col("model")),
+         lambda: F.trim(F.substring_index("code", "\n", 1)), _col("model"), end=_col("end_line")),
     _field_rule("DEP007", lambda: F.col("raw_type").rlike("^[a-z]"), "raw_type"),
     _body_rule("SEC001"),
     _body_rule("SEC002", lambda: F.lit("self.sudo()")),
@@ -358,7 +360,7 @@ _RULES = [
     Rule("MIS003", "module",
          lambda: F.col("has_manifest") & (F.trim(F.coalesce("license", F.lit(""))) == ""),
          lambda: F.lit(1), lambda: F.trim(F.col("manifest_head")), _col("module_name"),
-         file=_col("manifest_path")),
+         file=_col("manifest_path"), end=_col("dict_line")),
     _model_rule("INH001", "model", lambda: F.col("explicit_name") & (F.size("inherit") > 0)
                 & ~F.array_contains("inherit", F.col("model"))),
     _field_rule("DAT001", lambda: (F.lower("type") == "many2one") & ~_truthy("ondelete")),
@@ -415,6 +417,7 @@ def issue_rows(entity: DataFrame, rules: Iterable[Rule]) -> DataFrame:
                 _filled(description, rule.names).alias("description"),
                 rule.file().alias("file"),
                 rule.line().cast("int").alias("line"),
+                (rule.end or rule.line)().cast("int").alias("end_line"),
                 F.trim(rule.code()).alias("code"),
                 _filled(suggestion, rule.names).alias("suggestion"),
                 F.lit("").alias("fixed_code"),
