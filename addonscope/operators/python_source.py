@@ -45,12 +45,22 @@ def explode_lines(files: DataFrame) -> DataFrame:
 
 
 def lexed_lines(files: DataFrame) -> DataFrame:
-    """Lines of the files with their masked form, still one shuffle key per file."""
+    """Lines of the files with their masked form, spread by file.
+
+    The partition number is given, because a few bytes of shuffled text become
+    many lines: sized by bytes, the partitions would be too large.
+    """
+    spark = files.sparkSession
+    partitions = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     return (
-        files.repartition(*FILE_KEY)
+        files.repartition(partitions, *FILE_KEY)
+        # Per file, below the explode: not once per line.
+        .select(*FILE_KEY, import_style(F.col("content")).alias("style"), "content")
         .select(
             *FILE_KEY,
-            import_style(F.col("content")).alias("style"),
+            "style",
             F.posexplode(pytext.source_lines(F.col("content"))).alias("pos", "line"),
         )
         .select(
@@ -58,7 +68,7 @@ def lexed_lines(files: DataFrame) -> DataFrame:
             "style",
             (F.col("pos") + 1).alias("line_no"),
             F.col("line.text").alias("text"),
-            F.regexp_replace("line.masked", f"^{pytext.CONTINUATION}", "").alias("masked"),
+            F.ltrim(F.col("line.masked"), F.lit(pytext.CONTINUATION)).alias("masked"),
             F.startswith("line.masked", F.lit(pytext.CONTINUATION)).alias("continued"),
         )
     )
@@ -157,27 +167,22 @@ def _class_lines(lines: DataFrame) -> DataFrame:
         "decorated", F.coalesce(F.last(F.when(member, decorates), True).over(before), F.lit(False))
     )
     first = member & (~F.col("decorated") | (line_no == F.col("class_line")))
-    return lines.withColumn("item", last_of(F.when(first, line_no))).drop(
-        "top", "deep", "deep_level", "previous", "in_deep", "block", "top_body", "deep_body",
-        "decorated",
+    head = F.struct(
+        line_no.alias("line"),
+        F.col("masked").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(").alias("is_def"),
     )
-
-
-def _joined(lines: Column, stmt: Column, mask: bool) -> Column:
-    """Text of one statement out of its lines."""
-    return F.array_join(
-        F.transform(
-            F.filter(lines, lambda x: x["stmt"] == stmt),
-            lambda x: pytext.blank_comments(x["masked"])
-            if mask
-            else pytext.strip_comment(x["text"], x["masked"]),
-        ),
-        "\n",
+    lines = lines.select(
+        *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
+        "class_line", "class_indent",
+        last_of(F.when(first, line_no)).alias("item"),
+        last_of(F.when(member & ~decorates, head)).alias("head"),
     )
+    # Before its head, an item consists of decorators.
+    return lines.withColumn("at_head", F.col("head.line") >= F.col("item"))
 
 
-def _decorator(lines: Column, stmt: Column) -> Column:
-    code, masked = _joined(lines, stmt, False), _joined(lines, stmt, True)
+def _decorator_text(code: Column, masked: Column) -> Column:
+    """Name and arguments of a decorator line run."""
     args = F.concat(F.lit("("), pytext.bracketed(code, masked, "(")["code"], F.lit(")"))
     return F.concat(
         F.regexp_extract(code, r"^\s*@([\w.]+)", 1), F.coalesce(args, F.lit(""))
@@ -185,67 +190,80 @@ def _decorator(lines: Column, stmt: Column) -> Column:
 
 
 def _item_rows(lines: DataFrame) -> DataFrame:
-    """One row per class-level statement; a ``def`` carries decorators and body lines."""
-    grouped = lines.groupBy(*FILE_KEY, "style", "class_line", "class_indent", "item").agg(
-        F.array_sort(
-            F.collect_list(F.struct("line_no", "stmt", "starts", "indent", "text", "masked"))
-        ).alias("lines"),
+    """One row per class-level statement; a ``def`` carries decorators and body lines.
+
+    What a line contributes is decided before the grouping, so a group collects
+    the lines of its statement and, for a ``def`` only, those of its body.
+    """
+    in_head = F.col("at_head") & (F.col("stmt") == F.col("head.line"))
+    after = F.col("at_head") & (F.col("line_no") > F.col("head.line")) & ~F.coalesce(
+        in_head, F.lit(False)
+    )
+    pair = F.struct(
+        "line_no",
+        pytext.strip_comment(F.col("text"), F.col("masked")).alias("code"),
+        pytext.blank_comments(F.col("masked")).alias("masked"),
     )
-    undecorated = F.filter(
-        "lines", lambda x: x["starts"] & ~x["masked"].rlike(r"^\s*@")
+    body_line = F.struct("line_no", "stmt", "starts", "indent", "text", "masked")
+    decorator_line = F.struct(
+        "line_no", "stmt", "starts",
+        pytext.strip_comment(F.col("text"), F.col("masked")).alias("code"),
+        pytext.blank_comments(F.col("masked")).alias("masked"),
+    )
+
+    def sorted_lines(condition: Column, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, value)))
+
+    grouped = lines.groupBy(*FILE_KEY, "item").agg(
+        F.first("style").alias("style"),
+        F.max("class_line").alias("class_line"),
+        F.max("class_indent").alias("class_indent"),
+        F.max(F.when(F.col("at_head"), F.col("head"))).alias("head"),
+        F.max(F.when(F.col("stmt").isNotNull(), F.col("line_no"))).alias("end_line"),
+        F.max(F.when(in_head, F.col("line_no"))).alias("head_end"),
+        F.max(F.when(F.col("line_no") == F.col("head.line"), F.col("indent"))).alias("indent"),
+        sorted_lines(in_head, pair).alias("head_lines"),
+        sorted_lines(after & F.col("head.is_def"), body_line).alias("body"),
+        sorted_lines(~F.col("at_head") & F.col("stmt").isNotNull(), decorator_line).alias("above"),
     )
     kind = (
         F.when(F.col("line") == F.col("class_line"), "class")
-        .when(F.col("masked").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\("), "def")
-        .when(F.col("masked").rlike(r"^\s*@"), "decorator")
+        .when(F.col("head.is_def"), "def")
         .when(F.col("masked").rlike(r"^\s*\w+\s*=(?!=)"), "assign")
         .otherwise("other")
     )
-    return (
-        grouped.withColumn(
-            "line", F.coalesce(F.try_element_at(undecorated, F.lit(1))["line_no"], F.col("item"))
-        )
-        .withColumn("code", _joined(F.col("lines"), F.col("line"), False))
-        .withColumn("masked", _joined(F.col("lines"), F.col("line"), True))
-        .withColumn(
-            "head_end",
-            F.array_max(F.transform(
-                F.filter("lines", lambda x: x["stmt"] == F.col("line")), lambda x: x["line_no"])),
-        )
-        .withColumn(
-            "end_line",
-            F.array_max(F.transform(
-                F.filter("lines", lambda x: x["stmt"].isNotNull()), lambda x: x["line_no"])),
-        )
-        .withColumn(
-            "indent", F.filter("lines", lambda x: x["line_no"] == F.col("line"))[0]["indent"]
+
+    def decorators(above: Column) -> Column:
+        return F.transform(
+            F.filter(above, lambda x: x["starts"]),
+            lambda d: pytext.let(
+                F.filter(above, lambda x: x["stmt"] == d["line_no"]),
+                lambda own: F.struct(
+                    d["line_no"].alias("line"),
+                    _decorator_text(
+                        F.array_join(F.transform(own, lambda x: x["code"]), "\n"),
+                        F.array_join(F.transform(own, lambda x: x["masked"]), "\n"),
+                    ).alias("text"),
+                ),
+            ),
         )
+
+    return (
+        # Decorators above nothing have no head.
+        grouped.where("head IS NOT NULL")
+        .withColumn("line", F.col("head.line"))
+        .withColumn("code", F.array_join("head_lines.code", "\n"))
+        .withColumn("masked", F.array_join("head_lines.masked", "\n"))
         .withColumn("kind", kind)
         .withColumn(
             "target",
             F.when(F.col("kind") == "assign", F.regexp_extract("masked", r"^\s*(\w+)", 1)),
         )
         .withColumn(
-            "decorators",
-            F.when(
-                F.col("kind") == "def",
-                F.transform(
-                    F.filter("lines", lambda x: x["starts"] & (x["line_no"] < F.col("line"))),
-                    lambda x: F.struct(
-                        x["line_no"].alias("line"),
-                        _decorator(F.col("lines"), x["line_no"]).alias("text"),
-                    ),
-                ),
-            ),
-        )
-        .withColumn(
-            "body",
-            F.when(
-                F.col("kind") == "def",
-                F.filter("lines", lambda x: x["line_no"] > F.col("head_end")),
-            ),
+            "decorators", F.when(F.col("kind") == "def", decorators(F.col("above")))
         )
-        .drop("lines", "item")
+        .withColumn("body", F.when(F.col("kind") == "def", F.col("body")))
+        .drop("head_lines", "head", "above", "item")
     )
 
 

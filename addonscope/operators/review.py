@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addonscope.fixed_values import AUDIT_PAGE, ROLES
+from addonscope.session import materialize
 
 USERS = "id BIGINT, external_id STRING, name STRING, email STRING, avatar STRING, role STRING"
 AUDIT = "timestamp TIMESTAMP, user_id BIGINT, user_name STRING, action STRING, details STRING"
@@ -108,9 +109,10 @@ def dense_numbers(rows: DataFrame, order: list[str]) -> DataFrame:
     Rows are range-partitioned by the order columns; the rank inside a range is
     added to the number of rows in the ranges before it.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    # The partition number must not change between the two uses.
-    ranged = ranged.checkpoint() if _can_checkpoint(rows) else ranged.persist()
+    # Written, so that the partition number is the same in both uses.
+    ranged = materialize(
+        rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges"
+    )
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select(
         "part",
@@ -125,10 +127,6 @@ def dense_numbers(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _can_checkpoint(rows: DataFrame) -> bool:
-    return rows.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def change_roles(
     users: DataFrame, changes: DataFrame, actor_id: int = 0, actor_name: str = ""
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from addonscope.fixed_values import (
     VERSION_PREFIX,
 )
 from addonscope.operators.entities import MODEL_KEY
-from addonscope.operators.modules import MODULE_KEY
+from addonscope.operators.modules import MODULE_KEY, with_module
 
 _COUNTED = ["modules", "models", "fields", "methods", "views", "actions", "menus"]
 
@@ -131,8 +131,6 @@ def stats(entities: dict[str, DataFrame], issues: DataFrame) -> DataFrame:
 
 def module_health(issues: DataFrame, dirs: DataFrame) -> DataFrame:
     """Findings and score per module, by the folder of the file they are in."""
-    from addonscope.operators.modules import with_module
-
     placed = with_module(issues.select("repo", F.col("file").alias("path"), "severity"), dirs)
     # A finding about a missing file lies in a folder that may not exist.
     named = placed.withColumn(
@@ -227,8 +225,6 @@ def reference_targets(
     dirs: DataFrame,
 ) -> DataFrame:
     """Groups and views that the XML of each module refers to, one row per target."""
-    from addonscope.operators.modules import with_module
-
     groups = reduce(
         DataFrame.unionByName,
         [
