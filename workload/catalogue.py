@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import text_queries  # noqa: F401
+from workload import entity_queries, rule_queries, text_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

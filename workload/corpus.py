@@ -10,8 +10,7 @@ from __future__ import annotations
 import string
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Columns both engines can compute from part, supplier and their join.
 SOURCE_SQL = """
@@ -330,12 +329,14 @@ def _pieces(template: str):
             yield None, name
 
 
-def _spark(template: str) -> Column:
+def _spark(template: str) -> str:
+    """A template as a Spark SQL expression."""
     parts = [
-        F.lit(text) if name is None else F.col(name).cast("string")
+        "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'" if name is None
+        else f"CAST({name} AS STRING)"
         for text, name in _pieces(template)
     ]
-    return F.concat(*parts) if parts else F.lit("")
+    return " || ".join(parts) if parts else "''"
 
 
 def _sql(template: str) -> str:
@@ -356,22 +357,18 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_tables(spark, sf_dir, "part", "supplier")
     out = None
     for rows, condition, path, lines, crlf in FILES.values():
-        text = F.concat_ws(
-            "\n",
-            *[
-                F.when(F.expr(x.when), _spark(x.text)) if x.when else _spark(x.text)
-                for x in lines
-            ],
+        text = ", ".join(
+            f"CASE WHEN {x.when} THEN {_spark(x.text)} END" if x.when else _spark(x.text)
+            for x in lines
         )
+        text = f"concat_ws('\\n', {text})"
         kind = (
             spark.sql(rows)
             .where(condition)
-            .select(
+            .selectExpr(
                 "repo",
-                _spark(path).alias("path"),
-                F.when(F.expr(crlf), F.replace(text, F.lit("\n"), F.lit("\r\n")))
-                .otherwise(text)
-                .alias("content"),
+                f"{_spark(path)} AS path",
+                f"CASE WHEN {crlf} THEN replace({text}, '\\n', '\\r\\n') ELSE {text} END AS content",
             )
         )
         out = kind if out is None else out.unionByName(kind)

@@ -205,7 +205,7 @@ def split_args(c: Corpus):
          CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN 'none' WHEN 'error' THEN 'number'
               WHEN 'signup' THEN 'string' ELSE 'raw' END AS kind,
          CASE event_type WHEN 'click' THEN 'True' WHEN 'view' THEN NULL
-              WHEN 'error' THEN CAST(-user_id AS STRING)
+              WHEN 'error' THEN '-1' || CAST(user_id AS STRING)
               WHEN 'signup' THEN 'it is ' || props ELSE 'f(' || CAST(user_id AS STRING) || ')' END
            AS text,
          CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false ELSE NULL END AS flag
@@ -216,7 +216,7 @@ def literals(c: Corpus):
     source = (
         F.when(kind == "click", "  True ")
         .when(kind == "view", "None")
-        .when(kind == "error", F.concat(F.lit("-"), user))
+        .when(kind == "error", F.concat(F.lit("-1"), user))
         .when(kind == "signup", F.concat(F.lit("'it is "), "props", F.lit("'")))
         .otherwise(F.concat(F.lit("f("), user, F.lit(")")))
     )
