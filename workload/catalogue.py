@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from workload import entity_queries, rule_queries, text_queries  # noqa: F401
+from workload import (  # noqa: F401
+    entity_queries,
+    graph_queries,
+    review_queries,
+    rule_queries,
+    stats_queries,
+    text_queries,
+)
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,7 +58,7 @@ class Corpus:
 
     @cached_property
     def fixed(self) -> DataFrame:
-        return materialize(fixes.fix_corpus(self.files, self.issues), "fixed")
+        return fixes.fix_corpus(self.files, self.issues)
 
     @cached_property
     def stats(self) -> DataFrame:
