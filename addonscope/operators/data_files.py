@@ -81,29 +81,35 @@ def access_rights(files: DataFrame) -> DataFrame:
     )
 
 
-def _value_text(entry: Column) -> Column:
-    """Text of a manifest value; adjacent string literals are joined."""
-    literal = r"""(?s)'''.*?'''|\"\"\".*?\"\"\"|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+def _value(code: Column, masked: Column) -> Column:
+    """``STRUCT<text, items, entries>``: a manifest value as text, list and map.
+
+    Adjacent string literals are joined.  A value that is no list is a list of
+    itself; one that is no dictionary is an empty map.
+    """
+    quoted = r"""(?s)'''.*?'''|\"\"\".*?\"\"\"|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
     parts = F.transform(
-        F.regexp_extract_all(entry["code"], F.lit(literal), F.lit(0)),
-        lambda p: pytext.literal(p)["text"],
+        F.regexp_extract_all(code, F.lit(quoted), F.lit(0)), lambda p: pytext.literal(p)["text"]
     )
-    return (
-        F.when(entry["code"].rlike(r"""^\s*['"]"""), F.array_join(parts, ""))
-        .when(
-            entry["code"].rlike(r"^\s*[\[(]"), F.array_join(pytext.string_list(entry["code"]), ",")
-        )
-        .otherwise(F.coalesce(pytext.literal(entry["code"])["text"], F.lit("")))
+    is_list = code.rlike(r"^\s*[\[(]")
+    text = (
+        F.when(code.rlike(r"""^\s*['"]"""), F.array_join(parts, ""))
+        .when(is_list, F.array_join(pytext.string_list(code), ","))
+        .otherwise(F.coalesce(pytext.literal(code)["text"], F.lit("")))
     )
-
-
-def _value_list(entry: Column) -> Column:
-    text = _value_text(entry)
-    return (
-        F.when(entry.isNull(), F.array().cast("array<string>"))
-        .when(entry["code"].rlike(r"^\s*[\[(]"), pytext.string_list(entry["code"]))
-        .when(text != "", F.array(text))
-        .otherwise(F.array().cast("array<string>"))
+    no_items = F.array().cast("array<string>")
+    return pytext.let(
+        text,
+        lambda t: F.struct(
+            t.alias("text"),
+            F.when(is_list, pytext.string_list(code))
+            .when(t != "", F.array(t))
+            .otherwise(no_items)
+            .alias("items"),
+            F.when(code.rlike(r"^\s*\{"), pytext.dict_literal(code, masked))
+            .otherwise(F.create_map().cast("map<string,string>"))
+            .alias("entries"),
+        ),
     )
 
 
@@ -129,14 +135,13 @@ def manifests(files: DataFrame) -> DataFrame:
                     F.transform(
                         pytext.dict_entries(F.col("inside.code"), F.col("inside.masked")),
                         lambda e: F.struct(
-                            e["key"].alias("key"),
-                            F.struct(e["code"].alias("code"), e["masked"].alias("masked")).alias(
-                                "value"
-                            ),
+                            e["key"].alias("key"), _value(e["code"], e["masked"]).alias("value")
                         ),
                     )
                 ),
-                F.create_map().cast("map<string,struct<code:string,masked:string>>"),
+                F.create_map().cast(
+                    "map<string,struct<text:string,items:array<string>,entries:map<string,string>>>"
+                ),
             ),
         )
     )
@@ -145,7 +150,6 @@ def manifests(files: DataFrame) -> DataFrame:
         return F.try_element_at("entries", F.lit(key))
 
     known = [*MANIFEST_STRINGS, *MANIFEST_LISTS, *MANIFEST_FLAGS, *MANIFEST_MAPS]
-    empty_map = F.create_map().cast("map<string,string>")
     return rows.select(
         "repo",
         "path",
@@ -153,26 +157,21 @@ def manifests(files: DataFrame) -> DataFrame:
         F.coalesce(1 + pytext.line_offset(F.col("masked"), F.col("inside.pos")), F.lit(1)).alias(
             "dict_line"
         ),
-        *[F.coalesce(_value_text(entry(k)), F.lit("")).alias(k) for k in MANIFEST_STRINGS],
-        *[_value_list(entry(k)).alias(k) for k in MANIFEST_LISTS],
+        *[F.coalesce(entry(k)["text"], F.lit("")).alias(k) for k in MANIFEST_STRINGS],
+        *[
+            F.coalesce(entry(k)["items"], F.array().cast("array<string>")).alias(k)
+            for k in MANIFEST_LISTS
+        ],
         *[
-            F.when(entry(k).isNull(), F.lit(default))
-            .otherwise(F.coalesce(pytext.literal(entry(k)["code"])["text"], F.lit("")).isin("True", "1"))
-            .alias(k)
+            F.coalesce(entry(k)["text"].isin("True", "1"), F.lit(default)).alias(k)
             for k, default in MANIFEST_FLAGS.items()
         ],
         *[
-            F.coalesce(
-                F.when(
-                    entry(k)["code"].rlike(r"^\s*\{"),
-                    pytext.dict_literal(entry(k)["code"], entry(k)["masked"]),
-                ),
-                empty_map,
-            ).alias(k)
+            F.coalesce(entry(k)["entries"], F.create_map().cast("map<string,string>")).alias(k)
             for k in MANIFEST_MAPS
         ],
         F.transform_values(
-            F.map_filter("entries", lambda k, _: ~k.isin(known)), lambda _, v: _value_text(v)
+            F.map_filter("entries", lambda k, _: ~k.isin(known)), lambda _, v: v["text"]
         ).alias("extra"),
     )
 

@@ -293,14 +293,26 @@ def class_items(files: DataFrame) -> DataFrame:
 
     value = F.regexp_replace("code", r"^\s*\w+\s*=", "")
     value_masked = F.regexp_replace("masked", r"^\s*\w+\s*=", "")
+    # Worked out once per statement that sets an attribute of the class.
+    items = items.select(
+        "*",
+        F.when(
+            F.col("target").isin("_name", "_description", "_order", "_rec_name"), _text(value)
+        ).alias("as_text"),
+        F.when(F.col("target") == "_inherit", _strings(value)).alias("as_list"),
+        F.when(
+            F.col("target").isin("_inherits", "_defaults"),
+            pytext.dict_literal(value, value_masked),
+        ).alias("as_map"),
+    )
     attributes = {
-        "_name": _text(value),
-        "_inherit": _strings(value),
-        "_inherits": pytext.dict_literal(value, value_masked),
-        "_description": _text(value),
-        "_order": _text(value),
-        "_rec_name": _text(value),
-        "_defaults": pytext.dict_literal(value, value_masked),
+        "_name": "as_text",
+        "_inherit": "as_list",
+        "_inherits": "as_map",
+        "_description": "as_text",
+        "_order": "as_text",
+        "_rec_name": "as_text",
+        "_defaults": "as_map",
     }
     whole = (
         Window.partitionBy(*FILE_KEY, "class_line")
@@ -319,8 +331,8 @@ def class_items(files: DataFrame) -> DataFrame:
         over_class(F.when(on_class, F.col("code"))).alias("header"),
         F.max("end_line").over(whole).alias("class_end"),
         *[
-            over_class(F.when(F.col("target") == name, expr)).alias("a" + name)
-            for name, expr in attributes.items()
+            over_class(F.when(F.col("target") == name, F.col(form))).alias("a" + name)
+            for name, form in attributes.items()
         ],
     ).where(F.regexp_extract("header", header, 2).rlike(_BASES))
     inherit = F.coalesce("a_inherit", F.array().cast("array<string>"))
