@@ -124,33 +124,35 @@ def line_offset(text: Column, position: Column) -> Column:
     return F.length(before) - F.length(F.translate(before, "\n", ""))
 
 
-_BRACKETS = r"[\[({\])}]|[^\[({\])}]++"
-_SEPARATORS = r"[\[({\])},:]|\blambda\b|(?:(?!\blambda\b)[^\[({\])},:])++"
+# Tokens that end with a character (or keyword) that matters, or with the text.
+_BRACKETS = r"[^\[({\])}]*+[\[({\])}]"
+_SEPARATORS = r"(?:(?!\blambda\b)[^\[({\])},:])*+(?:[\[({\])},:]|\blambda\b)"
 
 
-def _depth_change(token: Column) -> Column:
-    return F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
+def _depth_change(end: Column) -> Column:
+    return F.when(end.isin("(", "[", "{"), 1).when(end.isin(")", "]", "}"), -1).otherwise(0)
 
 
 def _top_level_commas(masked: Column) -> Column:
     """Positions of the commas outside all brackets and lambda parameter lists."""
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("params"), F.lit(1).alias("pos"),
+        F.lit(0).alias("depth"), F.lit(0).alias("params"), F.lit(0).alias("pos"),
         F.array().cast("array<int>").alias("hits"),
     )
 
     def step(acc: Column, token: Column) -> Column:
+        end = F.right(token, F.lit(1))
         top = acc["depth"] == 0
+        pos = acc["pos"] + F.length(token)
         return F.struct(
-            (acc["depth"] + _depth_change(token)).alias("depth"),
-            F.when(top & (token == "lambda"), acc["params"] + 1)
-            .when(top & (token == ":") & (acc["params"] > 0), acc["params"] - 1)
+            (acc["depth"] + _depth_change(end)).alias("depth"),
+            F.when(top & (end == "a"), acc["params"] + 1)
+            .when(top & (end == ":") & (acc["params"] > 0), acc["params"] - 1)
             .otherwise(acc["params"])
             .alias("params"),
-            (acc["pos"] + F.length(token)).alias("pos"),
+            pos.alias("pos"),
             F.when(
-                top & (acc["params"] == 0) & (token == ","),
-                F.array_append(acc["hits"], acc["pos"]),
+                top & (end == ",") & (acc["params"] == 0), F.array_append(acc["hits"], pos)
             ).otherwise(acc["hits"]).alias("hits"),
         )
 
@@ -161,16 +163,17 @@ def _top_level_commas(masked: Column) -> Column:
 def closing_position(masked: Column) -> Column:
     """1-based position where the bracket opened by the first character closes."""
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(1).alias("pos"), F.lit(None).cast("int").alias("end")
+        F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("end")
     )
 
     def step(acc: Column, token: Column) -> Column:
-        change = _depth_change(token)
+        change = _depth_change(F.right(token, F.lit(1)))
+        pos = acc["pos"] + F.length(token)
         closes = acc["end"].isNull() & (change == -1) & (acc["depth"] == 1)
         return F.struct(
             (acc["depth"] + change).alias("depth"),
-            (acc["pos"] + F.length(token)).alias("pos"),
-            F.when(closes, acc["pos"]).otherwise(acc["end"]).alias("end"),
+            pos.alias("pos"),
+            F.when(closes, pos).otherwise(acc["end"]).alias("end"),
         )
 
     tokens = F.regexp_extract_all(masked, F.lit(_BRACKETS), F.lit(0))

@@ -352,7 +352,7 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_files(spark: SparkSession, sf_dir: str, spread=lambda rows: rows) -> DataFrame:
     """``repo, path, content`` of all derived source files."""
     read_tables(spark, sf_dir, "part", "supplier")
     out = None
@@ -363,8 +363,7 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         text = f"concat_ws('\\n', {text})"
         kind = (
-            spark.sql(rows)
-            .where(condition)
+            spread(spark.sql(rows).where(condition))
             .selectExpr(
                 "repo",
                 f"{_spark(path)} AS path",

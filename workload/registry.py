@@ -17,6 +17,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, where the scan has fewer splits than there are cores.
+
+    Only tables of a single small file need it; a large input is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Corpus:
     """Tables of the corpus derived from one set of star tables.
 
@@ -31,7 +40,9 @@ class Corpus:
 
     @cached_property
     def files(self) -> DataFrame:
-        return materialize(derived_files(self.spark, self.sf_dir).transform(classify), "files")
+        return materialize(
+            derived_files(self.spark, self.sf_dir, spread).transform(classify), "files"
+        )
 
     @cached_property
     def entities(self) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from addonscope.functions import text as T
 from addonscope.operators import graph, python_source, search
 from addonscope.sources import corpus as sources
 from workload.expected import PARTS, PY
-from workload.registry import Corpus, query
+from workload.registry import Corpus, query, spread
 
 
 def _document_files(c: Corpus):
@@ -179,7 +179,7 @@ def _args_column():
 def split_args(c: Corpus):
     code = _args_column()
     rows = (
-        c.table("lineitem")
+        spread(c.table("lineitem"))
         .withColumn("code", code)
         .withColumn("masked", pytext.mask_source(F.col("code")))
         .withColumn("pieces", pytext.split_args(F.col("code"), F.col("masked")))
