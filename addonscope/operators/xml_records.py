@@ -39,10 +39,14 @@ _OPTIONS = {
     "ignoreSurroundingSpaces": "false",
     "nullValue": "\u0001",
 }
+# A record reaches to its end tag, or where that is missing to the next record:
+# no pattern here looks at a character twice, however broken the file is.
 _ELEMENT = (
-    r"(?s)<record(?=[\s/>])[^>]*?(?:/>|>.*?</record\s*>)"
+    r"<record(?=[\s/>])[^>]*?"
+    r"(?:/>|>[^<]*+(?:<(?!/?record[\s/>])[^<]*+)*+(?:</record\s*>)?)"
     r"|<(?:menuitem|act_window|report)(?=[\s/>])[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+>"
 )
+_COMMENT = r"(?s)<!--(?:.*?-->|.*)"
 
 
 def xml_elements(files: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def xml_elements(files: DataFrame) -> DataFrame:
 
     ``node`` is the parsed element; on a malformed one ``node.bad`` holds its text.
     """
-    clean = F.regexp_replace("content", r"(?s)<!--.*?-->", "")
+    clean = F.regexp_replace("content", _COMMENT, "")
     tag = F.regexp_extract("xml", r"^<(\w+)", 1)
     whole = F.when(tag == "record", F.col("xml")).otherwise(
         F.regexp_replace("xml", r"/?>$", "/>")

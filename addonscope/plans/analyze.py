@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from addonscope.operators import data_files, entities, modules, python_source, rules, xml_records
+from addonscope.operators import (
+    data_files,
+    entities,
+    graph,
+    modules,
+    python_source,
+    rules,
+    stats,
+    xml_records,
+)
 from addonscope.rule_texts import DEFAULT_RULES
 from addonscope.session import materialize
+from addonscope.sources.corpus import classify, unique_files
 
 
 def extract(files: DataFrame) -> dict[str, DataFrame]:
@@ -54,3 +63,33 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
         "translations": data_files.translations(files),
         "parse_errors": xml_records.xml_errors(elements),
     }
+
+
+def analyze(files: DataFrame, rule_ids: Iterable[str] = tuple(DEFAULT_RULES)) -> dict[str, DataFrame]:
+    """The whole analysis of ``repo, path, content`` rows.
+
+    Adds to the entity tables: relationships, flows, transitions, issues (written,
+    since every figure reads them), stats, and only the non-empty modules.
+    """
+    tables = extract(materialize(unique_files(classify(files)), "files"))
+
+    def placed(name: str) -> DataFrame:
+        return modules.with_module(tables[name], tables["dirs"])
+
+    tables["modules"] = modules.non_empty_modules(
+        tables["modules"],
+        [
+            tables["models"], tables["access_rights"], placed("views"), placed("actions"),
+            placed("menus"),
+        ],
+    )
+    flows = graph.flows(tables["models"], tables["fields"])
+    issues = materialize(rules.detect(tables, rule_ids), "issues")
+    return {
+        **tables,
+        "relationships": graph.model_relationships(tables["models"], tables["fields"]),
+        "flows": flows,
+        "transitions": graph.transitions(tables["methods"], flows),
+        "issues": issues,
+        "stats": stats.stats(tables, issues),
+    }

@@ -57,7 +57,9 @@ def stream_push_events(
 def touched_modules(corpus: DataFrame, arrived: DataFrame) -> DataFrame:
     """All files of the modules that the arrived files belong to.
 
-    Rules across files need the whole module, not only what is new.
+    Rules across files need the whole module, not only what is new.  Modules are
+    found from the paths alone; with a corpus table partitioned by ``repo`` the
+    join on it prunes the text that is read to the touched repositories.
     """
     dirs = module_dirs(corpus)
     touched = with_module(arrived.select("repo", "path").distinct(), dirs).select(

@@ -209,10 +209,9 @@ def issue_comments(c: Corpus):
     """Comments of the first conversation in reading order."""
     comments = _comments(c)
     first = c.table("conversations").agg(F.min("conv_id")).first()[0]
-    ordered = review.issue_comments(comments, f"issue_{first}").select("user_id", "user_name")
-    return ordered.rdd.zipWithIndex().map(
-        lambda p: (p[0]["user_id"], p[0]["user_name"], p[1] + 1)
-    ).toDF("user_id BIGINT, user_name STRING, pos BIGINT")
+    return review.dense_numbers(
+        review.issue_comments(comments, f"issue_{first}"), ["timestamp"]
+    ).select("user_id", "user_name", F.col("number").alias("pos"))
 
 
 @query("users_by_name", f"""

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from addonscope.operators import fixes, rules, search
+from addonscope.operators import fixes, review, rules, search
 from addonscope.rule_texts import CATALOGUE, DEFAULT_RULES, EXPLANATIONS, FINDINGS, LEVELS
 from addonscope.sources import sinks
 from addonscope.session import work_dir
@@ -139,10 +139,11 @@ def distinct_categories(c: Corpus):
   FROM iss WHERE rule_id IN ({_DEFAULT})
 """)
 def report_order(c: Corpus):
-    """Issues in report order; the position is counted from the sorted partitions."""
-    ordered = search.report_order(c.issues).select("id")
-    numbered = ordered.rdd.zipWithIndex().map(lambda p: (p[0]["id"], p[1] + 1))
-    return numbered.toDF("id STRING, pos BIGINT")
+    """Position of each issue in report order."""
+    ranked = c.issues.withColumn("rank", search.severity_rank())
+    return review.dense_numbers(
+        ranked, ["rank", "repo", "file", "line", "rule_id", "id"]
+    ).select("id", F.col("number").alias("pos"))
 
 
 @query("bottom_up", f"""
