@@ -74,111 +74,140 @@ def lexed_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def statement_lines(lines: DataFrame) -> DataFrame:
-    """Adds bracket depth and the statement each line belongs to.
+def _frames():
+    by_line = Window.partitionBy(*FILE_KEY).orderBy("line_no")
+    return (
+        by_line.rowsBetween(Window.unboundedPreceding, -1),
+        by_line.rowsBetween(Window.unboundedPreceding, 0),
+    )
+
 
-    ``depth``: brackets open before the line.  It starts again at a ``class`` or
-    ``def`` header, which cannot stand inside brackets, so an unbalanced bracket
-    spoils one block and not the rest of the file.  ``starts``: a statement
-    begins here.  ``stmt``: first line of the statement the line is part of,
-    NULL on blank and comment lines between statements.
+def _started_lines(lines: DataFrame) -> DataFrame:
+    """Adds indent, bracket depth before the line, and whether a statement starts here.
+
+    The depth starts again at a ``class`` or ``def`` header, which cannot stand
+    inside brackets, so an unbalanced bracket spoils one block and not the rest
+    of the file.
     """
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("line_no")
-    before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    before, so_far = _frames()
     blank = F.trim(F.translate("masked", COMMENT_FILL + "\t\r\f", "")) == ""
     header = ~F.col("continued") & F.col("masked").rlike(
         r"^\s*(?:(?:async\s+)?def|class)\s+\w+\s*[(:]"
     )
+    opened = F.coalesce(F.sum("delta").over(before), F.lit(0))
+    base = F.coalesce(F.last(F.when(header, F.col("opened")), True).over(so_far), F.lit(0))
     return (
-        lines.withColumn("indent", pytext.indent(F.col("text")))
-        .withColumn("delta", pytext.bracket_delta(F.col("masked")))
-        .withColumn("opened", F.coalesce(F.sum("delta").over(before), F.lit(0)))
-        .withColumn(
-            "base",
-            F.coalesce(F.last(F.when(header, F.col("opened")), True).over(so_far), F.lit(0)),
-        )
-        .withColumn("depth", F.col("opened") - F.col("base"))
-        .withColumn("starts", ~blank & ~F.col("continued") & (F.col("depth") <= 0))
-        .withColumn(
-            "stmt",
-            F.when(
-                F.col("starts") | F.col("continued") | (F.col("depth") > 0),
-                F.last(F.when(F.col("starts"), F.col("line_no")), True).over(so_far),
-            ),
+        lines.select("*", pytext.bracket_delta(F.col("masked")).alias("delta"))
+        .select("*", opened.alias("opened"))
+        .select("*", (F.col("opened") - base).alias("depth"))
+        .select(
+            *FILE_KEY, "style", "line_no", "text", "masked", "continued", "depth",
+            pytext.indent(F.col("text")).alias("indent"),
+            (~blank & ~F.col("continued") & (F.col("depth") <= 0)).alias("starts"),
         )
-        .drop("delta", "opened", "base")
     )
 
 
+def _statement() -> Column:
+    """First line of the statement a line is part of, NULL between statements."""
+    _, so_far = _frames()
+    return F.when(
+        F.col("starts") | F.col("continued") | (F.col("depth") > 0),
+        F.last(F.when(F.col("starts"), F.col("line_no")), True).over(so_far),
+    )
+
+
+def statement_lines(lines: DataFrame) -> DataFrame:
+    """Lexed lines with the statement each belongs to.
+
+    ``depth``: brackets open before the line.  ``starts``: a statement begins
+    here.  ``stmt``: first line of the statement the line is part of, NULL on
+    blank and comment lines between statements.
+    """
+    return _started_lines(lines).select("*", _statement().alias("stmt"))
+
+
 def _class_lines(lines: DataFrame) -> DataFrame:
     """Adds the enclosing class and the class-level statement of every line.
 
     A class block ends at the next statement that is not indented deeper than
     its header.  Top-level classes and classes at a deeper level are followed
     separately, so a nested class does not end the class around it.
+
+    Windows that do not need each other share one select, hence one pass.
     """
-    by_line = Window.partitionBy(*FILE_KEY).orderBy("line_no")
-    before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    before, so_far = _frames()
     starts, level, line_no = F.col("starts"), F.col("indent"), F.col("line_no")
     is_class = starts & F.col("masked").rlike(r"^\s*class\s+\w+")
+    decorates = F.col("masked").rlike(r"^\s*@")
 
     def event(opens: Column, closes: Column) -> Column:
-        return F.when(
-            opens, F.struct(line_no.alias("line"), level.alias("indent"), F.lit(True).alias("open"))
-        ).when(
-            closes, F.struct(line_no.alias("line"), level.alias("indent"), F.lit(False).alias("open"))
-        )
+        def at(is_open: bool) -> Column:
+            return F.struct(
+                line_no.alias("line"), level.alias("indent"), F.lit(is_open).alias("open")
+            )
+
+        return F.when(opens, at(True)).when(closes, at(False))
 
     def last_of(value: Column) -> Column:
         return F.last(value, True).over(so_far)
 
     at_top = starts & (level == 0)
+    start = F.struct(line_no.alias("line"), decorates.alias("decorates"))
+    deeper = F.coalesce(F.col("deep.open"), F.lit(False))
     lines = (
-        lines.withColumn("top", last_of(event(at_top & is_class, at_top)))
-        .withColumn("deep_level", last_of(F.when(is_class & (level > 0), level)))
-        .withColumn("previous", F.last(F.when(starts, line_no), True).over(before))
-        .withColumn(
-            "deep", last_of(event(is_class & (level > 0), starts & (level <= F.col("deep_level"))))
+        _started_lines(lines)
+        .select(
+            "*",
+            _statement().alias("stmt"),
+            last_of(event(at_top & is_class, at_top)).alias("top"),
+            last_of(F.when(is_class & (level > 0), level)).alias("deep_level"),
+            F.last(F.when(starts, start), True).over(before).alias("previous"),
+        )
+        .select(
+            "*",
+            last_of(
+                event(is_class & (level > 0), starts & (level <= F.col("deep_level")))
+            ).alias("deep"),
+        )
+        .select(
+            *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
+            "previous", deeper.alias("in_deep"),
+            F.when(deeper, F.col("deep")).otherwise(F.col("top")).alias("block"),
         )
-        .withColumn("in_deep", F.coalesce(F.col("deep.open"), F.lit(False)))
-        .withColumn("block", F.when(F.col("in_deep"), F.col("deep")).otherwise(F.col("top")))
         .where("block.open")
-        .withColumn("class_line", F.col("block.line"))
-        .withColumn("class_indent", F.col("block.indent"))
     )
-    first = starts & (F.col("previous") == F.col("class_line"))
-    body = F.struct("class_line", F.col("indent").alias("indent"))
-    lines = lines.withColumn(
-        "top_body", last_of(F.when(first & ~F.col("in_deep"), body))
-    ).withColumn("deep_body", last_of(F.when(first & F.col("in_deep"), body)))
+    first = starts & (F.col("previous.line") == F.col("block.line"))
+    body = F.struct(F.col("block.line").alias("class_line"), F.col("indent").alias("indent"))
     own = F.when(F.col("in_deep"), F.col("deep_body")).otherwise(F.col("top_body"))
-    lines = lines.withColumn(
-        "body_indent",
-        F.when(own["class_line"] == F.col("class_line"), own["indent"]).otherwise(
-            F.col("class_indent") + 4
-        ),
+    body_indent = F.when(
+        own["class_line"] == F.col("block.line"), own["indent"]
+    ).otherwise(F.col("block.indent") + 4)
+    is_header = line_no == F.col("block.line")
+    lines = lines.select(
+        "*",
+        last_of(F.when(first & ~F.col("in_deep"), body)).alias("top_body"),
+        last_of(F.when(first & F.col("in_deep"), body)).alias("deep_body"),
+    ).select(
+        *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt", "block",
+        "previous", (starts & (is_header | (level <= body_indent))).alias("member"),
     )
-    member = starts & ((line_no == F.col("class_line")) | (level <= F.col("body_indent")))
-    decorates = F.col("masked").rlike(r"^\s*@")
-    # A run of decorators belongs to the statement below it.
-    lines = lines.withColumn(
-        "decorated", F.coalesce(F.last(F.when(member, decorates), True).over(before), F.lit(False))
+    # A run of decorators belongs to the statement right below it.
+    first = F.col("member") & (
+        ~F.coalesce(F.col("previous.decorates"), F.lit(False)) | is_header
     )
-    first = member & (~F.col("decorated") | (line_no == F.col("class_line")))
     head = F.struct(
         line_no.alias("line"),
         F.col("masked").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(").alias("is_def"),
     )
-    lines = lines.select(
+    return lines.select(
         *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
-        "class_line", "class_indent",
+        F.col("block.line").alias("class_line"),
+        F.col("block.indent").alias("class_indent"),
         last_of(F.when(first, line_no)).alias("item"),
-        last_of(F.when(member & ~decorates, head)).alias("head"),
-    )
-    # Before its head, an item consists of decorators.
-    return lines.withColumn("at_head", F.col("head.line") >= F.col("item"))
+        last_of(F.when(F.col("member") & ~decorates, head)).alias("head"),
+        # Before its head, an item consists of decorators.
+    ).select("*", (F.col("head.line") >= F.col("item")).alias("at_head"))
 
 
 def _decorator_text(code: Column, masked: Column) -> Column:
@@ -289,7 +318,7 @@ def class_items(files: DataFrame) -> DataFrame:
     files = files.where(F.col("type") == "python").where(
         F.col("content").rlike(r"(?m)^[ \t]*class\s+\w+\s*\([^)]*(?:" + _BASES + ")")
     )
-    items = _item_rows(_class_lines(statement_lines(lexed_lines(files))))
+    items = _item_rows(_class_lines(lexed_lines(files)))
 
     value = F.regexp_replace("code", r"^\s*\w+\s*=", "")
     value_masked = F.regexp_replace("masked", r"^\s*\w+\s*=", "")
