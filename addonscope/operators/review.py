@@ -76,9 +76,8 @@ def upsert_users(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         F.max_by(F.struct("name", "email", "avatar"), "seq").alias("login"),
         F.min("seq").alias("seq"),
     )
-    used = existing.agg(
-        F.coalesce(F.max("id"), F.lit(0)).alias("last_id"), F.count("*").alias("n_users")
-    )
+    last_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    n_users = existing.agg(F.count("*")).scalar()
     known = existing.alias("u").join(logins, "external_id", "left").select(
         "u.id",
         "external_id",
@@ -89,14 +88,13 @@ def upsert_users(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     fresh = logins.join(existing.select("external_id"), "external_id", "left_anti")
     numbered = dense_numbers(fresh, ["seq", "external_id"])
-    # One row of two numbers.
-    added = numbered.join(F.broadcast(used)).select(
-        (F.col("last_id") + F.col("number")).cast("bigint").alias("id"),
+    added = numbered.select(
+        (last_id + F.col("number")).cast("bigint").alias("id"),
         "external_id",
         F.col("login.name").alias("name"),
         F.nullif("login.email", F.lit("")).alias("email"),
         F.nullif("login.avatar", F.lit("")).alias("avatar"),
-        F.when((F.col("n_users") == 0) & (F.col("number") == 1), "Admin")
+        F.when((n_users == 0) & (F.col("number") == 1), "Admin")
         .otherwise("Viewer")
         .alias("role"),
     )
