@@ -137,10 +137,16 @@ PYTHON = [
     line(""),
     line("    @api.multi", "z % 9 = 0", rules=(("DEP001", "true", "_compute_amount"),)),
     line("    # between", "z % 18 = 0"),
+    line("    @api.one", "z % 23 = 0", rules=(("DEP002", "true", "_compute_amount"),)),
+    line("    @api.returns('self', id)", "z % 25 = 0",
+         rules=(("DEP003", "true", "_compute_amount"),)),
     line("    @api.depends('partner_id')"),
     line("    def _compute_amount(self):",
          **_METHOD, name="_compute_amount", a="self",
-         b=Sql("CASE WHEN z % 9 = 0 THEN 'api.multi|' ELSE '' END || 'api.depends(''partner_id'')'"),
+         b=Sql("CASE WHEN z % 9 = 0 THEN 'api.multi|' ELSE '' END"
+               " || CASE WHEN z % 23 = 0 THEN 'api.one|' ELSE '' END"
+               " || CASE WHEN z % 25 = 0 THEN 'api.returns(''self'', id)|' ELSE '' END"
+               " || 'api.depends(''partner_id'')'"),
          c="false",
          rules=(("BAD004", "z % 2 = 0", "_compute_amount"),
                 ("PERF001", "z % 5 = 1", "_compute_amount"))),

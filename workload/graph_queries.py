@@ -240,6 +240,8 @@ def class_diagrams(c: Corpus):
       WHEN w.rule_id IN ('BAD003', 'BAD004', 'PERF001') THEN w.entity
       WHEN w.rule_id = 'SEC003' THEN w.entity
       WHEN w.rule_id = 'DEP001' THEN 'api.multi'
+      WHEN w.rule_id = 'DEP002' THEN 'api.one'
+      WHEN w.rule_id = 'DEP003' THEN 'api.returns(''self'', id)'
       WHEN w.rule_id = 'BAD005' THEN 'self.env.cr.commit()'
       WHEN w.rule_id = 'SEC002' THEN 'self.sudo()'
       WHEN w.rule_id = 'BAD002' THEN 'except:'

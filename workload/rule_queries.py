@@ -189,6 +189,8 @@ _BLOCK = "'    partner_id = fields.Many2one(' || chr(10) || '        ''res.partn
   SELECT repo, rule_id, file, line,
     CASE rule_id
       WHEN 'DEP001' THEN ''
+      WHEN 'DEP002' THEN
+        '    # FIXED: Dekorator @api.one dihapus. Gunakan perulangan di dalam method.'
       WHEN 'DEP004' THEN replace(text, 'osv.osv', 'models.Model')
       WHEN 'DEP007' THEN replace(replace(text, 'fields.char', 'fields.Char'), 'fields.many2one',
                                  'fields.Many2one')
@@ -209,7 +211,7 @@ _BLOCK = "'    partner_id = fields.Many2one(' || chr(10) || '        ''res.partn
         ELSE {_BLOCK} || ', ondelete=''set null''' || chr(10) || '    )' END
     END AS fixed
   FROM hit
-  WHERE rule_id IN ('DEP001', 'DEP004', 'DEP007', 'BAD001', 'BAD002', 'BAD005', 'SEC001', 'DAT001')
+  WHERE rule_id IN ('DEP001', 'DEP002', 'DEP004', 'DEP007', 'BAD001', 'BAD002', 'BAD005', 'SEC001', 'DAT001')
     AND NOT (rule_id = 'DEP007' AND entity = 'owner_id')
 """)
 def line_fixes(c: Corpus):
@@ -219,7 +221,7 @@ def line_fixes(c: Corpus):
     second of them starts from the line the first one left and is not compared.
     """
     again = (F.col("rule_id") == "DEP007") & F.contains("fixed", F.lit("'owner_id'"))
-    direct = ["DEP001", "DEP004", "DEP007", "BAD001", "BAD002", "BAD005", "SEC001", "DAT001"]
+    direct = ["DEP001", "DEP002", "DEP004", "DEP007", "BAD001", "BAD002", "BAD005", "SEC001", "DAT001"]
     return fixes.applied_fixes(c.fixed).where(F.col("rule_id").isin(direct) & ~again).select(
         "repo", "rule_id", "file", "line", "fixed"
     )
