@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addonscope.llm import anchors, langid, mixing, pseudonyms, tiling
+from addonscope.llm import (
+    anchors,
+    bilinear,
+    langid,
+    mixing,
+    pseudonyms,
+    pstable,
+    runindex,
+    secret_scan,
+    tiling,
+    tokencount,
+)
 from addonscope.llm.common import read, row_key
 
 #: Key of the registered PII query; a production run passes its own secret.
@@ -21,6 +33,19 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts of the base kinds, a digest of their spans, and all spans."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    kinds = secret_scan.BASE
+    base = F.expr(f"filter(spans, s -> s.kind < {len(kinds)})")
+    counts = [
+        F.size(F.expr(f"filter(spans, s -> s.kind = {i})")).cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(kinds)
+    ]
+    digest = F.sha2(secret_scan.joined(base, kinds).cast("binary"), 256)
+    spans = secret_scan.joined(F.col("spans"), secret_scan.RULES)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), spans.alias("spans"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's main language and its share of the text."""
     docs = read(spark, sf_dir, "documents")
@@ -47,12 +72,29 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "text", *counts)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without the passages that documents with smaller ids hold."""
+    found = runindex.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by word counts and by the model."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return bilinear.score(read(spark, sf_dir, "documents"), held_out)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links, component, and whether it stays."""
+    return pstable.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest id of its near-duplicates."""
     marked = anchors.near_duplicates(read(spark, sf_dir, "documents"))
@@ -60,6 +102,41 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it has more than 512."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokencount.limited(tokencount.token_counts(read(spark, sf_dir, "documents"), path))
+
+
+def _kind_sql(number: int, rule: secret_scan.Rule) -> str:
+    """Spans of one rule: what lies between matches gives their places."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {number} AS kind, '{rule.kind}' AS name, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+           "start" := CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT),
+           size := length(m[i]), kept := length(v[i]) >= {rule.least}))) AS s
+  FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m,
+               regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM texts)"""
+
+
+SECRETS_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(secret_scan.RULES))}),
+spans AS (
+  SELECT doc_id, kind, name, s."start" AS b,
+         name || ':' || s."start" || ':' || (s."start" + s.size) AS span
+  FROM found WHERE s.kept),
+joined AS (
+  SELECT doc_id, string_agg(span, ',' ORDER BY b, kind) AS spans,
+         string_agg(span, ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS base,
+         count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS k,
+         count(*) FILTER (WHERE kind = 2) AS h
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
@@ -98,10 +175,15 @@ FROM placed
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_repeats": op5_repeats,
+    "op6_language_model": op6_language_model,
     "op7_mixing": op7_mixing,
+    "op8_embeddings": op8_embeddings,
     "op9_simhash": op9_simhash,
+    "op10_token_count": op10_token_count,
 }
-ORACLES = {"op7_mixing": MIXING_SQL}
+ORACLES = {"op1_secret_scan": SECRETS_SQL, "op7_mixing": MIXING_SQL}
