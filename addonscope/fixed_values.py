@@ -70,7 +70,6 @@ MANIFEST_MAPS = ["external_dependencies", "assets"]
 
 ACCEPTED_EXTENSIONS = ["py", "xml", "csv", "txt", "po"]
 ARCHIVE_EXTENSION = "zip"
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 ACTION_MODELS = [
     "ir.actions.act_window",
@@ -142,6 +141,19 @@ STATE_CATEGORIES = {
     "cancel": ["cancel", "cancelled", "refused", "rejected"],
 }
 
+# Source state that a part of a method's name suggests, first match wins; SECOND_STATE stands for the
+# second state of the model.
+SECOND_STATE = "second"
+SOURCE_BY_METHOD = [
+    ("approve", "draft"),
+    ("confirm", "draft"),
+    ("done", SECOND_STATE),
+    ("complete", SECOND_STATE),
+    ("cancel", "checking"),
+    ("reset", "cancelled"),
+    ("draft", "cancelled"),
+]
+
 DEFAULT_VERSION = "Odoo 14.0"
 LEGACY_VERSION = "Odoo 8.0 atau lebih rendah"
 VERSION_PREFIX = "Odoo "

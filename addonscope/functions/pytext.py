@@ -103,6 +103,44 @@ def indent(text: Column) -> Column:
     return F.length(F.replace(F.regexp_extract(text, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
 
 
+def forms(source: Column) -> Column:
+    """``STRUCT<code, masked>`` of a piece of source, comments blanked in both."""
+    return F.struct(
+        blank_comments(code_source(source)).alias("code"),
+        blank_comments(F.translate(mask_source(source), CONTINUATION, "")).alias("masked"),
+    )
+
+
+def statements(lines: Column) -> Column:
+    """``ARRAY<STRUCT<line, code, masked>>`` of the statements of a body, in one pass.
+
+    ``lines`` has consecutive numbers; a statement reaches to the start of the next one.
+    """
+    first = F.get(lines, F.lit(0))["line_no"]
+    end = first + F.size(lines)
+
+    def joined(own: Column, form) -> Column:
+        return F.array_join(F.transform(own, form), "\n")
+
+    def cut(starts: Column) -> Column:
+        def one(start: Column, i: Column) -> Column:
+            size = F.coalesce(F.get(starts, i + 1), end) - start
+            own = F.filter(F.slice(lines, start - first + 1, size), lambda x: x["stmt"] == start)
+            return let(
+                own,
+                lambda x: F.struct(
+                    start.alias("line"),
+                    joined(x, lambda l: strip_comment(l["text"], l["masked"])).alias("code"),
+                    joined(x, lambda l: blank_comments(l["masked"])).alias("masked"),
+                ),
+            )
+
+        return F.transform(starts, one)
+
+    starts = F.transform(F.filter(lines, lambda x: x["starts"]), lambda x: x["line_no"])
+    return let(starts, cut)
+
+
 def bracket_delta(masked: Column) -> Column:
     """Brackets opened minus brackets closed."""
     return F.length(F.translate(masked, ")]}", "")) - F.length(F.translate(masked, "([{", ""))
@@ -293,15 +331,19 @@ def positional_args(pieces: Column) -> Column:
 def last_wins_map(entries: Column) -> Column:
     """Map of ``STRUCT<key, value>`` entries; a repeated key keeps its last value."""
 
-    def build(all_entries: Column) -> Column:
-        last = F.filter(
-            all_entries,
-            lambda e, i: ~F.exists(
-                F.slice(all_entries, i + 2, F.size(all_entries)),
-                lambda later: later["key"] == e["key"],
-            ),
+
+    def build(found: Column) -> Column:
+        ordered = F.array_sort(
+            F.transform(found, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at")))
         )
-        return F.map_from_entries(last)
+
+        def last(order: Column) -> Column:
+            kept = F.filter(order, lambda o, i: ~F.get(order, i + 1)["key"].eqNullSafe(o["key"]))
+            return F.map_from_entries(
+                F.transform(kept, lambda o: F.struct(o["key"], F.get(found, o["at"])["value"]))
+            )
+
+        return let(ordered, last)
 
     return let(entries, build)
 

@@ -10,7 +10,6 @@ from addonscope.functions import pytext
 
 MODEL_KEY = ["repo", "path", "class_line", "model"]
 _LEGACY = "|".join(b.replace(".", r"\.") for b in LEGACY_BASES)
-_TUPLE2 = r"""\(\s*['"]([^'"]*)['"]\s*,\s*['"]([^'"]*)['"]\s*\)"""
 _TUPLE3 = (
     r"""\(\s*(?:'([^']*)'|"([^"]*)")\s*,\s*(?:'([^']*)'|"([^"]*)")\s*,"""
     r"""\s*(?:'([^']*)'|"([^"]*)")\s*,?\s*\)"""
@@ -201,6 +200,34 @@ def fields(items: DataFrame) -> DataFrame:
     )
 
 
+def selection_pairs(selection: Column) -> Column:
+    """``ARRAY<STRUCT<value, label>>`` of a list of pairs of strings."""
+
+    def pair(item: Column) -> Column:
+        inside = pytext.bracketed(item["code"], item["masked"], "(")
+        return pytext.let(
+            F.transform(
+                pytext.let(inside, lambda x: pytext.split_args(x["code"], x["masked"])),
+                lambda part: pytext.literal(part["code"]),
+            ),
+            lambda v: F.when(
+                (F.size(v) == 2) & F.forall(v, lambda x: x["kind"] == "string"),
+                F.struct(v[0]["text"].alias("value"), v[1]["text"].alias("label")),
+            ),
+        )
+
+    def pairs(text: Column) -> Column:
+        listed = pytext.bracketed(text["code"], text["masked"], "[")
+        return pytext.let(
+            listed,
+            lambda x: F.array_compact(
+                F.transform(pytext.split_args(x["code"], x["masked"]), pair)
+            ),
+        )
+
+    return pytext.let(pytext.forms(selection), pairs)
+
+
 def states(fields_df: DataFrame) -> DataFrame:
     """Value and label pairs of selection fields named state or status."""
     selection = F.try_element_at("params", F.lit("selection"))
@@ -209,12 +236,7 @@ def states(fields_df: DataFrame) -> DataFrame:
         .select(
             *MODEL_KEY,
             F.col("name").alias("field"),
-            F.posexplode(
-                F.arrays_zip(
-                    F.regexp_extract_all(selection, F.lit(_TUPLE2), F.lit(1)).alias("value"),
-                    F.regexp_extract_all(selection, F.lit(_TUPLE2), F.lit(2)).alias("label"),
-                )
-            ).alias("pos", "s"),
+            F.posexplode(selection_pairs(selection)).alias("pos", "s"),
         )
         .select(*MODEL_KEY, "field", "pos", F.col("s.value"), F.col("s.label"))
     )
@@ -225,10 +247,9 @@ def methods(items: DataFrame) -> DataFrame:
 
     ``lines`` keeps the body line by line for the rules; ``body`` is its text.
     """
-    level = F.col("indent") - F.col("class_indent")
     params = pytext.bracketed(F.col("code"), F.col("masked"), "(")
     return (
-        items.where((F.col("kind") == "def") & level.between(4, 7))
+        items.where(F.col("kind") == "def")
         .withColumn("args", params)
         .select(
             *MODEL_KEY,

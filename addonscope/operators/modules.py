@@ -71,7 +71,7 @@ def modules(files: DataFrame, manifests: DataFrame, dirs: DataFrame) -> DataFram
     """One row per module, with its manifest where it has one."""
     paths = dirs.select(*MODULE_KEY).distinct()
     heads = files.where(F.col("name").isin(MANIFEST_FILES)).select(
-        "repo", "path", F.left("content", F.lit(100)).alias("manifest_head")
+        "repo", "path", F.col("content").alias("manifest_head")
     )
     # A folder with both manifest files keeps the first by path.
     described = manifests.join(heads, ["repo", "path"]).withColumnsRenamed(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from addonscope.fixed_values import AUDIT_PAGE, ROLES
+from addonscope.fixed_values import ROLES
 from addonscope.session import materialize
 
 USERS = "id BIGINT, external_id STRING, name STRING, email STRING, avatar STRING, role STRING"
@@ -158,11 +158,12 @@ def change_roles(
     return after, audit, refused
 
 
-def newest_audit(audit: DataFrame, limit: int = AUDIT_PAGE) -> DataFrame:
-    """The newest entries; every task keeps only its own newest before they meet."""
-    return audit.orderBy(F.col("timestamp").desc(), *[
+def newest_audit(audit: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entries from the newest on; with a limit, every task keeps only its own newest before they meet."""
+    ordered = audit.orderBy(F.col("timestamp").desc(), *[
         F.col(c) for c in audit.columns if c != "timestamp"
-    ]).limit(limit)
+    ])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def issue_comments(comments: DataFrame, issue_id: str) -> DataFrame:
@@ -171,10 +172,13 @@ def issue_comments(comments: DataFrame, issue_id: str) -> DataFrame:
 
 
 def comments_of(issues: DataFrame, comments: DataFrame) -> DataFrame:
-    """All issues with their comments; sort by ``issue_id, timestamp`` to read them."""
-    return issues.select(F.col("id").alias("issue_id"), "rule_id").distinct().join(
-        comments, "issue_id"
-    )
+    """All issues with their comments; sort by ``issue_id, timestamp`` to read them.
+
+    Issue ids hold no repository, so comments on several repositories carry a ``repo``.
+    """
+    key = ["repo", "issue_id"] if "repo" in comments.columns else ["issue_id"]
+    named = issues.select("repo", F.col("id").alias("issue_id"), "rule_id")
+    return named.select(*key, "rule_id").distinct().join(comments, key)
 
 
 def users_by_name(users: DataFrame) -> DataFrame:

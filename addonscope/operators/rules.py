@@ -89,34 +89,6 @@ _SQL_TEXT = (
 )
 
 
-def _statement(lines: Column, stmt: Column) -> Column:
-    """``STRUCT<line, code, masked>`` of one statement of a body."""
-    return F.struct(
-        stmt.alias("line"),
-        F.array_join(
-            F.transform(
-                F.filter(lines, lambda x: x["stmt"] == stmt),
-                lambda x: pytext.strip_comment(x["text"], x["masked"]),
-            ),
-            "\n",
-        ).alias("code"),
-        F.array_join(
-            F.transform(
-                F.filter(lines, lambda x: x["stmt"] == stmt),
-                lambda x: pytext.blank_comments(x["masked"]),
-            ),
-            "\n",
-        ).alias("masked"),
-    )
-
-
-def _statements_with(lines: Column, pattern: str) -> Column:
-    hits = F.array_distinct(
-        F.transform(F.filter(lines, lambda x: x["masked"].rlike(pattern)), lambda x: x["stmt"])
-    )
-    return F.transform(hits, lambda stmt: _statement(lines, stmt))
-
-
 def _is_formatted(code: Column, masked: Column) -> Column:
     plain = masked.rlike(r"%|\.format\s*\(")
     f_string = masked.rlike(r"""\b[rR]?[fF][rR]?['"]""") & F.contains(code, F.lit("{"))
@@ -138,39 +110,47 @@ def _injected_sql() -> Column:
     """First statement that executes SQL put together by string formatting.
 
     The formatting is in the call itself, or the call executes a variable that
-    an earlier statement of the body assigned such a text to.
+    an earlier statement of the body assigned such a text to.  Statements are
+    put together once, and of the assignments only the first one to each name
+    matters, so the work grows with the lines of the method.
     """
-    lines = F.col("lines")
-    calls = F.transform(
-        _statements_with(lines, r"\bcr\.execute\s*\("),
-        lambda c: F.struct(
-            c["line"].alias("line"), _executed(c).alias("arg")
-        ),
-    )
-
-    def built_before(call: Column) -> Column:
-        name = F.regexp_extract(call["arg"]["masked"], r"^\s*(\w+)\s*$", 1)
-        assigned = F.filter(
-            lines,
-            lambda x: x["starts"]
-            & (x["line_no"] < call["line"])
-            & (F.regexp_extract(x["masked"], r"^\s*(\w+)\s*\+?=(?!=)", 1) == name),
+    assign = r"^\s*(\w+)\s*\+?=(?!=)"
+
+    def find(statements: Column) -> Column:
+        built = F.transform(
+            F.filter(
+                statements,
+                lambda s: s["masked"].rlike(assign)
+                & s["code"].rlike(_SQL_TEXT)
+                & _is_formatted(s["code"], F.regexp_replace(s["masked"], assign, "")),
+            ),
+            lambda s: F.struct(
+                F.regexp_extract(s["masked"], assign, 1).alias("key"), (-s["line"]).alias("value")
+            ),
         )
-        return F.exists(
-            F.transform(assigned, lambda x: _statement(lines, x["line_no"])),
-            lambda s: _is_formatted(s["code"], F.regexp_replace(s["masked"], r"^\s*\w+\s*\+?=", ""))
-            & s["code"].rlike(_SQL_TEXT),
+        calls = F.transform(
+            F.filter(statements, lambda s: s["masked"].rlike(r"\bcr\.execute\s*\(")),
+            lambda c: F.struct(c["line"].alias("line"), _executed(c).alias("arg")),
         )
 
-    found = F.filter(
-        calls,
-        lambda c: F.when(_is_formatted(c["arg"]["code"], c["arg"]["masked"]), True)
-        .when(c["arg"]["masked"].rlike(r"^\s*\w+\s*$"), built_before(c))
-        .otherwise(False),
-    )
+        def first(names: Column) -> Column:
+            def bad(c: Column) -> Column:
+                arg = c["arg"]["masked"]
+                since = F.try_element_at(names, F.regexp_extract(arg, r"^\s*(\w+)\s*$", 1))
+                return (
+                    F.when(_is_formatted(c["arg"]["code"], arg), True)
+                    .when(arg.rlike(r"^\s*\w+\s*$"), F.coalesce(-since < c["line"], F.lit(False)))
+                    .otherwise(False)
+                )
+
+            return F.try_element_at(F.filter(calls, bad), F.lit(1))["line"]
+
+        # The map keeps the last value in order of lines turned round: the first line.
+        return pytext.let(pytext.last_wins_map(F.reverse(built)), first)
+
     return F.when(
         F.exists("lines", lambda x: F.contains(x["masked"], F.lit("cr.execute"))),
-        F.try_element_at(found, F.lit(1))["line"],
+        pytext.let(pytext.statements(F.col("lines")), find),
     )
 
 
@@ -213,10 +193,12 @@ def _first_line(pattern: str) -> Column:
 
 def _unlimited_search() -> Column:
     found = F.filter(
-        _statements_with(F.col("lines"), r"\.search\s*\("),
-        lambda s: s["masked"].rlike(_SEARCH_WITHOUT_LIMIT),
+        pytext.statements(F.col("lines")), lambda s: s["masked"].rlike(_SEARCH_WITHOUT_LIMIT)
+    )
+    return F.when(
+        F.exists("lines", lambda x: F.contains(x["masked"], F.lit(".search"))),
+        F.try_element_at(found, F.lit(1))["line"],
     )
-    return F.try_element_at(found, F.lit(1))["line"]
 
 
 def _silent_except() -> Column:
@@ -356,7 +338,8 @@ _RULES = [
          _col("module_name"),
          file=lambda: F.concat("module_path", F.lit("/__manifest__.py"))),
     _model_rule("MIS002", "model",
-                lambda: F.col("explicit_name") & (F.trim(F.col("description")) == "")),
+                lambda: F.col("explicit_name") & (F.trim(F.col("description")) == "")
+                & ~F.array_contains("inherit", F.col("model"))),
     Rule("MIS003", "module",
          lambda: F.col("has_manifest") & (F.trim(F.coalesce("license", F.lit(""))) == ""),
          lambda: F.lit(1), lambda: F.trim(F.col("manifest_head")), _col("module_name"),
@@ -451,8 +434,13 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def models_without(models: DataFrame, rows: DataFrame) -> DataFrame:
-    """Models with a name of their own that no row of their module refers to."""
-    own = models.where("explicit_name").withColumn("key", access_key(F.col("model")))
+    """Models with a name of their own that no row of their module refers to.
+
+    A class that also inherits from its own name extends a model and declares none.
+    """
+    own = models.where("explicit_name AND NOT array_contains(inherit, model)").withColumn(
+        "key", access_key(F.col("model"))
+    )
     return own.join(_keys(rows), [*MODULE_KEY, "key"], "left_anti")
 
 
@@ -461,9 +449,10 @@ def rule_entities(entities: dict[str, DataFrame]) -> dict[str, Callable[[], Data
     return {
         "module": lambda: entities["modules"],
         "model": lambda: entities["models"],
+        # The access file is the module's, so a model declared twice in it counts once.
         "unprotected_model": lambda: models_without(
             entities["models"], entities["access_rights"]
-        ),
+        ).groupBy(*MODULE_KEY, "model").agg(F.min("class_name").alias("class_name")),
         "unruled_model": lambda: models_without(entities["models"], entities["record_rules"]),
         "attribute": lambda: entities["items"].where(
             F.col("target").isin("_columns", "_defaults")

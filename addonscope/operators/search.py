@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addonscope.fixed_values import REPORT_RELATION_CAP, SEVERITIES
+from addonscope.fixed_values import SEVERITIES
 
 ALL = "all"
 
@@ -69,20 +69,20 @@ def bottom_up(issues: DataFrame) -> DataFrame:
     )
 
 
-def report_relations(relationships: DataFrame) -> DataFrame:
-    """The first thirty relations of each repository and how many there are besides.
+def report_relations(relationships: DataFrame, first_n: int) -> DataFrame:
+    """The first relations of each repository and how many there are besides.
 
-    The cap is part of the report.  The rank limit runs before the shuffle, and
+    The number is part of the report.  The rank limit runs before the shuffle, and
     the rest is counted, not collected.
     """
     first = Window.partitionBy("repo").orderBy("path", "from_model", "field", "to_model")
     shown = (
         relationships.withColumn("pos", F.row_number().over(first))
-        .where(F.col("pos") <= REPORT_RELATION_CAP)
+        .where(F.col("pos") <= first_n)
         .select("repo", "pos", "from_model", "type", "to_model", "field")
     )
     totals = relationships.groupBy("repo").agg(F.count("*").alias("n"))
     return shown.join(totals, "repo").select(
         "repo", "pos", "from_model", "type", "to_model", "field",
-        F.greatest(F.lit(0), F.col("n") - REPORT_RELATION_CAP).alias("others"),
+        F.greatest(F.lit(0), F.col("n") - first_n).alias("others"),
     )

@@ -79,7 +79,7 @@ def xml_errors(elements: DataFrame) -> DataFrame:
         "repo",
         "path",
         F.lit(None).cast("int").alias("line"),
-        F.concat(F.lit("XML parse error: "), F.left("xml", F.lit(200))).alias("message"),
+        F.concat(F.lit("XML parse error: "), F.col("xml")).alias("message"),
         F.lit("xml_parse_error").alias("type"),
     )
 

@@ -13,12 +13,15 @@ _OWN_DIR: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a fresh temporary
-    folder stands in.
+    Where none is named, a session on one machine gets a temporary folder of its own; on a
+    cluster that is an error, since executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="run-")

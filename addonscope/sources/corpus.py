@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from addonscope.fixed_values import ACCEPTED_EXTENSIONS, ARCHIVE_EXTENSION, MAX_FILE_BYTES
+from addonscope.fixed_values import ACCEPTED_EXTENSIONS, ARCHIVE_EXTENSION
 from addonscope.functions import text as T
 
 FILES = "repo STRING, path STRING, name STRING, type STRING, content STRING, size BIGINT"
@@ -37,10 +38,12 @@ def _located(root: str) -> tuple[Column, Column]:
     return repo, path
 
 
-def scan_corpus(
-    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """Text files of the accepted kinds, each one row.
+def _within(size: Column, max_bytes: int | None) -> Column:
+    return F.lit(True) if max_bytes is None else size <= max_bytes
+
+
+def scan_corpus(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Text files of the accepted kinds, each one row; with ``max_bytes`` only up to that size.
 
     Extension and size are tested on the file listing, before any text is read.
     """
@@ -51,7 +54,7 @@ def scan_corpus(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _any_case_glob(ACCEPTED_EXTENSIONS))
         .load(root)
-        .where(F.col("_metadata.file_size") <= max_bytes)
+        .where(_within(F.col("_metadata.file_size"), max_bytes))
         .select(
             repo.alias("repo"),
             path.alias("path"),
@@ -62,9 +65,7 @@ def scan_corpus(
     )
 
 
-def rejected_files(
-    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
+def rejected_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Files a scan leaves out, as parse errors.  Only the listing is read."""
     repo, path = _located(root)
     listing = (
@@ -75,7 +76,7 @@ def rejected_files(
     )
     known = T.extension(F.col("path")).isin([*ACCEPTED_EXTENSIONS, ARCHIVE_EXTENSION])
     message = F.when(~known, "unsupported format").when(
-        F.col("size") > max_bytes, f"file larger than {max_bytes} bytes"
+        ~_within(F.col("size"), max_bytes), f"file larger than {max_bytes} bytes"
     )
     return (
         listing.withColumn("message", message)
@@ -90,56 +91,89 @@ def rejected_files(
     )
 
 
-def _expand(max_bytes: int):
+def _expand(max_bytes: int | None):
+    """Entries of archives: their text, or why there is none."""
+
+    def entries(raw: bytes) -> Iterator[tuple[str, str | None, int, str | None]]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(raw))
+        except zipfile.BadZipFile:
+            yield "", None, len(raw), "not a readable archive"
+            return
+        with archive:
+            for info in archive.infolist():
+                ext = info.filename.rsplit(".", 1)[-1].lower()
+                if info.is_dir() or ext not in ACCEPTED_EXTENSIONS:
+                    continue
+                if max_bytes is not None and info.file_size > max_bytes:
+                    yield info.filename, None, info.file_size, f"file larger than {max_bytes} bytes"
+                    continue
+                try:
+                    body = archive.read(info).decode("utf-8", "replace")
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+                    yield info.filename, None, info.file_size, f"unreadable entry: {e}"
+                    continue
+                yield info.filename, body, info.file_size, None
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for repo, path, raw in zip(batch["repo"], batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(raw))
-                except zipfile.BadZipFile:
-                    continue
-                with archive:
-                    for info in archive.infolist():
-                        ext = info.filename.rsplit(".", 1)[-1].lower()
-                        if info.is_dir() or ext not in ACCEPTED_EXTENSIONS:
-                            continue
-                        if info.file_size > max_bytes:
-                            continue
-                        body = archive.read(info).decode("utf-8", "replace")
-                        yield pd.DataFrame(
-                            {
-                                "repo": [repo], "archive": [path], "path": [info.filename],
-                                "content": [body], "size": [info.file_size],
-                            }
-                        )
+                for name, body, size, problem in entries(raw):
+                    yield pd.DataFrame(
+                        {
+                            "repo": [repo], "archive": [path], "path": [name], "content": [body],
+                            "size": [size], "problem": [problem],
+                        }
+                    )
 
     return expand
 
 
-def scan_archives(
-    spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """Text files inside the zip archives under ``root``.
-
-    Folders, nested archives and other kinds are skipped.  Where two entries
-    share a path, one is kept.  An archive without a repository folder is its
-    own repository.
-    """
+def _archive_entries(spark: SparkSession, root: str, max_bytes: int | None) -> DataFrame:
     repo, path = _located(root)
     archives = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _any_case_glob([ARCHIVE_EXTENSION]))
         .load(root)
-        .where(F.col("length") <= max_bytes)
+        .where(_within(F.col("length"), max_bytes))
         .select(repo.alias("repo"), path.alias("path"), "content")
     )
     entries = archives.mapInPandas(
         _expand(max_bytes),
-        "repo STRING, archive STRING, path STRING, content STRING, size BIGINT",
+        "repo STRING, archive STRING, path STRING, content STRING, size BIGINT, problem STRING",
     )
     own = F.when(F.col("repo") == "", F.col("archive")).otherwise(F.col("repo"))
-    return unique_files(entries.withColumn("repo", own).drop("archive").transform(classify))
+    return entries.withColumn("repo", own)
+
+
+def scan_archives(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Text files inside the zip archives under ``root``.
+
+    Folders, nested archives and other kinds are skipped.  Where two entries
+    share a path, one is kept.  An archive without a repository folder is its
+    own repository.  What cannot be read is in ``archive_errors``.
+    """
+    entries = _archive_entries(spark, root, max_bytes).where("problem IS NULL")
+    return unique_files(entries.drop("archive", "problem").transform(classify))
+
+
+def archive_errors(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Archives and entries that ``scan_archives`` leaves out, as parse errors."""
+    inside = F.when(F.col("path") == "", F.col("archive")).otherwise(
+        F.concat_ws("/", "archive", "path")
+    )
+    return (
+        _archive_entries(spark, root, max_bytes)
+        .where("problem IS NOT NULL")
+        .select(
+            "repo",
+            inside.alias("path"),
+            F.lit(None).cast("int").alias("line"),
+            F.col("problem").alias("message"),
+            F.lit("archive_error").alias("type"),
+        )
+    )
 
 
 def classify(files: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ _ISSUE_COLUMNS = [
     "rule_id", "severity", "category", "title", "description", "file", "line", "suggestion",
 ]
 
+# Writers a repository is dealt to.
+_SLICES = 16
+
 
 def write_json(tables: dict[str, DataFrame], path: str) -> None:
     """Every table as JSON lines below ``path``."""
@@ -65,6 +68,8 @@ def write_fixed_files(fixed: DataFrame, path: str) -> None:
     (
         fixed.where(F.size("fixes") > 0)
         .select("repo", "path", "fixed_content")
+        # one writer for a slice of a repository, so that there are few files of each
+        .repartition("repo", F.pmod(F.xxhash64("path"), F.lit(_SLICES)))
         .write.mode("overwrite")
         .partitionBy("repo")
         .parquet(path)

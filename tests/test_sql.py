@@ -18,7 +18,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     got = bag(df.columns, [tuple(r) for r in df.collect()])

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from addonscope.fixed_values import CARDINALITY, DEFAULT_CARDINALITY, DIAGRAM_TYPES, STATE_CATEGORIES
+from addonscope.fixed_values import (
+    CARDINALITY,
+    DEFAULT_CARDINALITY,
+    DIAGRAM_FIELD_CAP,
+    DIAGRAM_TYPES,
+    REPORT_RELATION_CAP,
+    STATE_CATEGORIES,
+)
 from addonscope.operators import graph, search
 from workload.entity_queries import _FIELDS, _STATES, MENUS
 from workload.expected import MODULE_OF, PARTS, PY
@@ -143,7 +150,7 @@ _DIAGRAM_TYPE = "CASE lower(type) " + " ".join(
   SELECT repo, path, model, pos, {_DIAGRAM_TYPE} AS type, name FROM rk WHERE pos <= 8
 """)
 def er_rows(c: Corpus):
-    return graph.er_rows(c.entities["models"], c.entities["fields"]).drop("class_line")
+    return graph.er_rows(c.entities["models"], c.entities["fields"], DIAGRAM_FIELD_CAP).drop("class_line")
 
 
 _ARROW = "CASE type " + " ".join(
@@ -175,9 +182,9 @@ def er_edges(c: Corpus):
 
 @query("er_diagram", f"WITH {_EDGES} {_ER_LINES}")
 def er_diagram(c: Corpus):
-    return graph.er_diagram(c.entities["models"], c.entities["fields"], c.relationships).select(
-        "repo", "section", "text"
-    )
+    return graph.er_diagram(
+        c.entities["models"], c.entities["fields"], c.relationships, DIAGRAM_FIELD_CAP
+    ).select("repo", "section", "text")
 
 
 _MEMBERS = f"""
@@ -362,4 +369,4 @@ def dependency_diagram(c: Corpus):
   FROM rk WHERE pos <= 30
 """)
 def report_relations(c: Corpus):
-    return search.report_relations(c.relationships)
+    return search.report_relations(c.relationships, REPORT_RELATION_CAP)

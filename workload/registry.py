@@ -18,12 +18,8 @@ ORACLES: dict[str, str] = {}
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores, where the scan has fewer splits than there are cores.
-
-    Only tables of a single small file need it; a large input is left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt over the shuffle partitions, since the tables are few files and the text is not."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 class Corpus:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from addonscope.fixed_values import AUDIT_PAGE
 from addonscope.operators import python_source, review
 from addonscope.session import work_dir
 from addonscope.sources import corpus as sources
@@ -140,7 +141,7 @@ _AUDIT = """
   ORDER BY timestamp DESC, user_id, user_name, action, details LIMIT 200
 """)
 def newest_audit(c: Corpus):
-    return review.newest_audit(_audit(c))
+    return review.newest_audit(_audit(c), AUDIT_PAGE)
 
 
 @query("append_audit", f"SELECT action, count(*) AS n FROM (({_AUDIT}) UNION ALL ({_AUDIT})) q GROUP BY action")

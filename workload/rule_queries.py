@@ -183,25 +183,24 @@ _BLOCK = "'    partner_id = fields.Many2one(' || chr(10) || '        ''res.partn
 
 
 @query("line_fixes", f"""
-  WITH {ISSUES},
-  hit AS (SELECT i.rule_id, i.repo, i.file, i.line, i.entity, p.text, p.pname, p.z
-          FROM iss i JOIN py p ON p.path = i.file AND p.repo = i.repo AND p.line = i.line)
+  WITH {_TEXT},
+  hit AS (SELECT i.rule_id, i.repo, i.file, i.line, i.entity, i.suggestion, p.text, p.pname, p.z
+          FROM worded i JOIN py p ON p.path = i.file AND p.repo = i.repo AND p.line = i.line)
   SELECT repo, rule_id, file, line,
     CASE rule_id
       WHEN 'DEP001' THEN ''
       WHEN 'DEP002' THEN
         '    # FIXED: Dekorator @api.one dihapus. Gunakan perulangan di dalam method.'
       WHEN 'DEP004' THEN replace(text, 'osv.osv', 'models.Model')
-      WHEN 'DEP007' THEN replace(replace(text, 'fields.char', 'fields.Char'), 'fields.many2one',
-                                 'fields.Many2one')
-      WHEN 'BAD001' THEN CASE WHEN z = 1
-        THEN replace(text, 'browse(1)', 'ref(''custom_sales.stock_warehouse_default'')')
-        ELSE replace(text, 'browse(' || CAST(z AS STRING) || ')',
-                     'ref(''custom_sales.record_id_' || CAST(z AS STRING) || ''')') END
+      WHEN 'DEP007' THEN CASE WHEN entity = 'owner_id'
+        THEN '        ''owner_id'': fields.Many2one(''res.users'', ''Owner'', ondelete=''set null''),'
+        ELSE replace(replace(text, 'fields.char', 'fields.Char'), 'fields.many2one',
+                                 'fields.Many2one') END
+      WHEN 'BAD001' THEN '        # [BAD001] PERHATIAN: ' || suggestion || chr(10) || text
       WHEN 'BAD002' THEN '        except Exception as e:' || chr(10)
         || '            _logger.exception(''Terjadi error: %s'', str(e))'
       WHEN 'BAD005' THEN
-        '        # DIHAPUS: self.env.cr.commit() - Odoo mengelola transaksi secara otomatis'
+        '        pass  # DIHAPUS: self.env.cr.commit() - Odoo mengelola transaksi secara otomatis'
       WHEN 'SEC001' THEN CASE WHEN z % 13 = 0
         THEN '        self.env.cr.execute("SELECT * FROM t WHERE id = %s", (self.id,))'
         ELSE text || '  # FIXED: Gunakan parameterized query di sini untuk mencegah SQL Injection!'
@@ -212,17 +211,15 @@ _BLOCK = "'    partner_id = fields.Many2one(' || chr(10) || '        ''res.partn
     END AS fixed
   FROM hit
   WHERE rule_id IN ('DEP001', 'DEP002', 'DEP004', 'DEP007', 'BAD001', 'BAD002', 'BAD005', 'SEC001', 'DAT001')
-    AND NOT (rule_id = 'DEP007' AND entity = 'owner_id')
 """)
 def line_fixes(c: Corpus):
     """Rewrites of the line or statement itself.
 
     The owner field of a legacy dictionary has two findings on one line; the
-    second of them starts from the line the first one left and is not compared.
+    second of them starts from the line the first one left.
     """
-    again = (F.col("rule_id") == "DEP007") & F.contains("fixed", F.lit("'owner_id'"))
     direct = ["DEP001", "DEP002", "DEP004", "DEP007", "BAD001", "BAD002", "BAD005", "SEC001", "DAT001"]
-    return fixes.applied_fixes(c.fixed).where(F.col("rule_id").isin(direct) & ~again).select(
+    return fixes.applied_fixes(c.fixed).where(F.col("rule_id").isin(direct)).select(
         "repo", "rule_id", "file", "line", "fixed"
     )
 
