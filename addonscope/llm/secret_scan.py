@@ -86,8 +86,12 @@ def _of_strings(strings: frozenset[str]) -> Clauses:
     return _shortest(grams)
 
 
-def _walk(parts, run: frozenset[str], clauses: Clauses) -> tuple[frozenset[str], Clauses]:
-    """Goes on from the strings ``run`` that end here; closes them where a part is too varied."""
+def _walk(parts, run: frozenset[str], clauses: Clauses) -> tuple[frozenset[str], Clauses, bool]:
+    """Goes on from the strings ``run`` that end here; closes them where a part is too varied.
+
+    Also tells whether nothing was closed, so that the strings are all there is.
+    """
+    exact = True
     for op, arg in parts:
         name = str(op)
         spelled = None
@@ -96,35 +100,36 @@ def _walk(parts, run: frozenset[str], clauses: Clauses) -> tuple[frozenset[str],
         elif name == "IN":
             spelled = _letters(arg)
         elif name == "SUBPATTERN":
-            run, clauses = _walk(arg[3], run, clauses)
+            run, clauses, whole = _walk(arg[3], run, clauses)
+            exact &= whole
             continue
         elif name == "BRANCH":
             ways = [_walk(way, frozenset([""]), _ALWAYS) for way in arg[1]]
-            if all(c == _ALWAYS for _, c in ways):
-                spelled = frozenset().union(*[r for r, _ in ways])
+            if all(whole for *_, whole in ways):
+                spelled = frozenset().union(*[r for r, *_ in ways])
             else:
-                clauses = _both(clauses, _of_strings(run))
-                each = frozenset().union(*[_both(c, _of_strings(r)) for r, c in ways])
-                run, clauses = frozenset([""]), _both(clauses, _shortest(each))
+                each = frozenset().union(*[_both(c, _of_strings(r)) for r, c, _ in ways])
+                clauses = _both(_both(clauses, _of_strings(run)), _shortest(each))
+                run, exact = frozenset([""]), False
                 continue
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, inner = arg
-            once, closed = _walk(inner, frozenset([""]), _ALWAYS)
-            if closed == _ALWAYS and once != frozenset([""]) and high <= 3 and len(once) ** int(high) <= _SPELLED:
+            once, _, whole = _walk(inner, frozenset([""]), _ALWAYS)
+            if whole and high <= 3 and len(once) ** int(high) <= _SPELLED:
                 spelled = frozenset(
                     s for k in range(int(low), int(high) + 1) for s in reduce(_times, [once] * k, frozenset([""]))
                 )
             else:
                 for _ in range(min(int(low), 3)):
-                    run, clauses = _walk(inner, run, clauses)
+                    run, clauses, _ = _walk(inner, run, clauses)
         elif name == "AT":
             continue
         if spelled is not None and len(run) * len(spelled) <= _SPELLED:
             run = _times(run, spelled)
         else:
             clauses = _both(clauses, _of_strings(run))
-            run = spelled if spelled is not None else frozenset([""])
-    return run, clauses
+            run, exact = spelled if spelled is not None else frozenset([""]), False
+    return run, clauses, exact
 
 
 def _times(x: frozenset[str], y: frozenset[str]) -> frozenset[str]:
@@ -150,7 +155,7 @@ def trigram_query(pattern: str) -> Clauses:
 
     A set without members means that the pattern has no mandatory trigram.
     """
-    run, clauses = _walk(re._parser.parse(pattern), frozenset([""]), _ALWAYS)
+    run, clauses, _ = _walk(re._parser.parse(pattern), frozenset([""]), _ALWAYS)
     return _both(clauses, _of_strings(run))
 
 
