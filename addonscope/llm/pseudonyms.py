@@ -140,10 +140,18 @@ def _phone(value: Column, key: str) -> tuple[Column, Column]:
 
 
 def _ip(value: Column, key: str) -> tuple[Column, Column]:
-    octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
-    new = permuted(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), key, "ip")
-    halves = [(F.floor(new[h] / 256), F.pmod(new[h], F.lit(256))) for h in "lr"]
-    return F.lit(True), F.concat_ws(".", *[o.cast("string") for pair in halves for o in pair])
+    """Octets keep their number of digits: 10, 90 or 156 values each."""
+    texts = F.split(value, r"\.")
+    first = [F.when(F.length(texts[i]) == 1, 0).when(F.length(texts[i]) == 2, 10).otherwise(100) for i in range(4)]
+    sizes = [F.when(F.length(texts[i]) == 1, 10).when(F.length(texts[i]) == 2, 90).otherwise(156) for i in range(4)]
+    rank = [texts[i].cast("int") - first[i] for i in range(4)]
+    new = permuted(
+        rank[0] * sizes[1] + rank[1], rank[2] * sizes[3] + rank[3], sizes[0] * sizes[1], sizes[2] * sizes[3], key, "ip"
+    )
+    parts = []
+    for half, i in (("l", 0), ("r", 2)):
+        parts += [F.floor(new[half] / sizes[i + 1]) + first[i], F.pmod(new[half], sizes[i + 1]) + first[i + 1]]
+    return F.lit(True), F.concat_ws(".", *[p.cast("string") for p in parts])
 
 
 def _date(value: Column, key: str) -> tuple[Column, Column]:
