@@ -74,11 +74,12 @@ class Vocabulary:
     counts: np.ndarray
     total: int
     distinct: int
+    limit: int = CLASSES
 
     @property
     def classes(self) -> int:
         """Classes that are single words."""
-        return min(CLASSES - 1, len(self.words))
+        return min(self.limit - 1, len(self.words))
 
     @property
     def rest(self) -> float:
@@ -87,21 +88,21 @@ class Vocabulary:
         return self.total - own + ALPHA * (self.distinct - self.classes + 1)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Collects at most HEAD words: all that are at least as frequent as a limit from a histogram of counts."""
+def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
+    """Collects at most ``head`` words: all that are at least as frequent as a limit from a histogram of counts."""
     bin_ = F.floor(F.log2("n") * 16).cast("int")
     bins = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
     held, least = 0, None
     for row in sorted(bins, key=lambda r: -r["bin"]):
         held += row["words"]
-        if held > HEAD:
+        if held > head:
             break
         least = row["bin"]
     some = counts.where(bin_ >= least).collect() if least is not None else []
     some.sort(key=lambda r: (-r["n"], bytes(r["token"])))
     return Vocabulary(
         [bytes(r["token"]) for r in some], np.array([r["n"] for r in some], np.int64),
-        sum(r["n"] for r in bins), sum(r["words"] for r in bins),
+        sum(r["n"] for r in bins), sum(r["words"] for r in bins), classes,
     )
 
 
@@ -329,7 +330,7 @@ def _score(shared):
     return work
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, head: int = HEAD, classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     ``docs`` has doc_id and text; ``held_out`` is a condition on them, and the model
@@ -340,7 +341,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     training = docs.where(~held_out)
     counts = materialize(word_counts(training), "word_counts")
-    vocab = vocabulary(counts)
+    vocab = vocabulary(counts, head, classes)
     params = train(training, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, params))
     rows = docs.select(
