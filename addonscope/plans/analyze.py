@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from addonscope.functions import text as T
 from addonscope.operators import (
     data_files,
     entities,
@@ -57,7 +59,12 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
         "states": entities.states(fields),
         "views": xml_records.views(elements),
         "actions": xml_records.actions(elements),
-        "menus": table("menus", xml_records.menus(elements)),
+        "menus": table(
+            "menus",
+            placed(xml_records.menus(elements))
+            .withColumn("module", T.base_name(F.col("module_path")))
+            .drop("module_path"),
+        ),
         "record_rules": table("record_rules", placed(xml_records.record_rules(elements))),
         "access_rights": table("access_rights", placed(data_files.access_rights(files))),
         "translations": data_files.translations(files),

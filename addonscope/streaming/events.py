@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from addonscope.fixed_values import WEBHOOK_DEFAULTS
+from addonscope.fixed_values import MANIFEST_FILES, WEBHOOK_DEFAULTS
+from addonscope.functions import text as T
 from addonscope.operators import rules
 from addonscope.operators.modules import module_dirs, with_module
 from addonscope.operators.review import audit_rows
@@ -54,17 +55,26 @@ def stream_push_events(
     )
 
 
+def new_roots(arrived: DataFrame) -> DataFrame:
+    """Repositories in which a manifest arrived."""
+    return arrived.where(T.base_name(F.col("path")).isin(MANIFEST_FILES)).select("repo").distinct()
+
+
 def touched_modules(corpus: DataFrame, arrived: DataFrame) -> DataFrame:
     """All files of the modules that the arrived files belong to.
 
     Rules across files need the whole module, not only what is new.  Modules are
     found from the paths alone; with a corpus table partitioned by ``repo`` the
-    join on it prunes the text that is read to the touched repositories.
+    join on it prunes the text that is read to the touched repositories.  A new
+    manifest may move files between any modules of its repository, so it touches
+    them all.
     """
     dirs = module_dirs(corpus)
     touched = with_module(arrived.select("repo", "path").distinct(), dirs).select(
         "repo", "module_path"
-    ).distinct()
+    )
+    every = dirs.select("repo", "module_path").join(new_roots(arrived), "repo", "left_semi")
+    touched = touched.unionByName(every).distinct()
     return (
         with_module(corpus, dirs)
         .join(touched, ["repo", "module_path"], "left_semi")
@@ -92,9 +102,10 @@ def incremental_scan(
             rules.detect(entities).withColumn("path", F.col("file")), entities["dirs"]
         ).drop("path")
         found.write.mode("overwrite").parquet(f"{findings_path}/issues/batch={batch_id}")
-        entities["modules"].select("repo", "module_path").write.mode("overwrite").parquet(
-            f"{findings_path}/modules/batch={batch_id}"
-        )
+        whole = new_roots(batch).withColumn("whole", F.lit(True))
+        entities["modules"].select("repo", "module_path").join(whole, "repo", "left").write.mode(
+            "overwrite"
+        ).parquet(f"{findings_path}/modules/batch={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(analyze_batch)
@@ -105,11 +116,19 @@ def incremental_scan(
 
 
 def current_findings(spark: SparkSession, findings_path: str) -> DataFrame:
-    """Findings of the last batch that analyzed each module."""
+    """Findings of the last batch that analyzed each module.
+
+    A batch that analyzed a whole repository replaces what came before it, also
+    for modules that are no more.
+    """
+    seen = spark.read.parquet(f"{findings_path}/modules")
+    since = seen.where("whole").groupBy("repo").agg(F.max("batch").alias("since"))
     latest = (
-        spark.read.parquet(f"{findings_path}/modules")
-        .groupBy("repo", "module_path")
+        seen.groupBy("repo", "module_path")
         .agg(F.max("batch").alias("batch"))
+        .join(since, "repo", "left")
+        .where("since IS NULL OR batch >= since")
+        .drop("since")
     )
     issues = spark.read.parquet(f"{findings_path}/issues")
     missing = F.regexp_extract("file", "^(.*?)/(?:security/)?[^/]*$", 1)

@@ -287,3 +287,70 @@ def test_unclosed_record_does_not_hide_the_next(make_files):
     e = extract(make_files({"a.xml": text + "<!-- open <record id='c' model='ir.ui.menu'/>"}))
     assert [r.id for r in e["menus"].collect()] == ["b"]
     assert e["parse_errors"].count() == 1
+
+
+def test_methods_at_any_indent(make_files):
+    """Two, eight and tab columns are as good as four."""
+    e = extract(make_files({
+        f"a{i}.py": f"class A(models.Model):\n{pad}_name = 'a'\n{pad}def go(self):\n{pad}{pad}self.env.cr.commit()\n"
+        for i, pad in enumerate(("  ", "        ", "\t"))
+    }))
+    assert [r.name for r in e["methods"].collect()] == ["go"] * 3
+    assert rules.detect(e, ["BAD005"]).count() == 3
+
+
+def test_extension_of_the_same_name_declares_no_model(make_files):
+    text = "class A(models.Model):\n    _name = 'a.x'\n    _inherit = 'a.x'\n"
+    own = "class B(models.Model):\n    _name = 'b.x'\n    _description = 'd'\n"
+    e = extract(make_files({"m/__manifest__.py": "{}", "m/a.py": text, "m/b.py": own, "m/c.py": own}))
+    found = [(r.rule_id, r.entity) for r in rules.detect(e, ["SEC003", "MIS002"]).collect()]
+    assert found == [("SEC003", "b.x")]
+
+
+def test_rewrites_keep_code_valid(make_files):
+    import ast
+
+    bodies = [
+        ["if a:", "    self.env.cr.commit()", "b(); self._cr.commit(); c()"],
+        ["try:", "    go()", "except: return False"],
+        ["x = lambda: cr.commit()"],
+        ["self.env.cr.execute(\"SELECT a FROM t WHERE b = '%s' AND c = %s\" % (b, c))"],
+        ["cr.execute('SELECT {} FROM t'.format(a, b))"],
+        ["cr.execute(f'SELECT 1 FROM t WHERE a = {a} AND b = {b.c}')"],
+        ["self.browse(7)"],
+    ]
+    bases = {
+        "osv.Model": "models.Model", "orm.TransientModel": "models.TransientModel",
+        "osv.osv_memory": "models.TransientModel",
+    }
+    files = {}
+    for k, base in enumerate(bases):
+        lines = [f"class A({base}):", "    _name = 'a'", "    d = fields.date('D')"]
+        for i, body in enumerate(bodies):
+            lines += [f"    def m{i}(self):", *["        " + b for b in body]]
+        files[f"a{k}.py"] = "\n".join(lines) + "\n"
+    e = extract(make_files(files))
+    found = rules.detect(e, ["BAD001", "BAD002", "BAD005", "SEC001", "DEP004", "DEP007"])
+    fixed = {r.path: r.fixed_content for r in fixes.fix_corpus(e["files"], found).collect()}
+    for k, today in enumerate(bases.values()):
+        text = fixed[f"a{k}.py"]
+        ast.parse(text)
+        assert f"class A({today}):" in text
+        assert "return False" in text and "fields.Date(" in text and "c()" in text
+        assert "self.env.cr.execute(\"SELECT a FROM t WHERE b = '%s' AND c = %s\", (b, c))" in text
+        assert "cr.execute('SELECT %s FROM t', (a, b,))" in text
+        assert "cr.execute('SELECT 1 FROM t WHERE a = %s AND b = %s', (a, b.c))" in text
+
+
+def test_long_methods_stay_linear(make_files):
+    """A method of 6,000 lines with a query on every third one takes seconds."""
+    import time
+
+    rows = []
+    for i in range(2000):
+        rows += [f"        q{i} = 'SELECT %s' % x", f"        self.env.cr.execute(q{i})", "        y = self.search([('a', '=', 1)])"]
+    text = "class A(models.Model):\n    _name = 'a'\n    def go(self):\n" + "\n".join(rows) + "\n"
+    e = extract(make_files({"a.py": text}))
+    start = time.time()
+    found = {r.rule_id: r.line for r in rules.detect(e, ["SEC001", "PERF003"]).collect()}
+    assert found == {"SEC001": 5, "PERF003": 6} and time.time() - start < 60

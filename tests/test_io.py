@@ -134,6 +134,42 @@ def test_incremental_scan_replaces_touched_modules(spark, make_files, tmp_path):
     make_files({"a/security/ir.model.access.csv": "id,model_id:id\nq,model_a_x\n"}).write.mode(
         "append").parquet(source)
     assert run() == ["b.x"]
+    # A manifest in a subfolder moves files to a new module: no finding stays behind or doubles.
+    make_files({
+        "b/sub/__manifest__.py": "{'license': 'x'}",
+        "b/sub/m.py": "class C(models.Model):\n    _name = 'c.x'\n    _description = 'd'\n",
+    }).write.mode("append").parquet(source)
+    assert run() == ["b.x", "c.x"]
+    make_files({"b/__openerp__.py": "{}", "b/security/ir.model.access.csv": "id,model_id:id\nq,model_b_x\n"}).write.mode(
+        "append").parquet(source)
+    assert run() == ["c.x"]
+
+
+def test_bad_archives_leave_rows(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "bad.zip").write_bytes(b"no zip")
+    with zipfile.ZipFile(tmp_path / "r" / "good.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("m/a.py", "x = 1\n")
+        z.writestr("m/b.py", "y" * 500)
+    errors = corpus.archive_errors(spark, str(tmp_path), 400).collect()
+    assert sorted((r.path, r.message) for r in errors) == [
+        ("bad.zip", "not a readable archive"), ("good.zip/m/b.py", "file larger than 400 bytes")]
+    assert {r.path for r in corpus.scan_archives(spark, str(tmp_path)).collect()} == {"m/a.py", "m/b.py"}
+
+
+def test_menus_of_two_modules_with_one_id(spark, make_files):
+    from addonscope.operators import graph
+
+    def menus(root, child):
+        return (f"<odoo><menuitem id='root' name='{root}'/><menuitem id='kid' name='{child}' parent='root'/></odoo>")
+
+    e = extract(make_files({
+        "m1/__manifest__.py": "{}", "m2/__manifest__.py": "{}",
+        "m1/v.xml": menus("R1", "K1"), "m2/v.xml": menus("R2", "K2"),
+        "m2/w.xml": "<odoo><menuitem id='far' name='F' parent='m1.kid'/></odoo>",
+    }))
+    paths = {r.menu_path for r in graph.menu_paths(e["menus"]).collect()}
+    assert paths == {"R1", "R1 / K1", "R2", "R2 / K2", "R1 / K1 / F"}
 
 
 def test_users_and_roles(spark):

@@ -300,7 +300,7 @@ def menu_edges(c: Corpus):
   SELECT * FROM tr
 """)
 def menu_paths(c: Corpus):
-    return graph.menu_paths(c.entities["menus"])
+    return graph.menu_paths(c.entities["menus"]).drop("key")
 
 
 @query("menu_cycles", f"""
