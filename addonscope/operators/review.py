@@ -174,10 +174,11 @@ def issue_comments(comments: DataFrame, issue_id: str) -> DataFrame:
 def comments_of(issues: DataFrame, comments: DataFrame) -> DataFrame:
     """All issues with their comments; sort by ``issue_id, timestamp`` to read them.
 
-    Issue ids hold no repository, so comments on several repositories carry a ``repo``.
+    Issue ids hold no repository: where both tables carry a ``repo``, it has to agree.
     """
-    key = ["repo", "issue_id"] if "repo" in comments.columns else ["issue_id"]
-    named = issues.select("repo", F.col("id").alias("issue_id"), "rule_id")
+    both = "repo" in comments.columns and "repo" in issues.columns
+    key = ["repo", "issue_id"] if both else ["issue_id"]
+    named = issues.withColumnRenamed("id", "issue_id")
     return named.select(*key, "rule_id").distinct().join(comments, key)
 
 
