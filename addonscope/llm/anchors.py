@@ -12,7 +12,7 @@ link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -39,18 +39,18 @@ PAIRS = 1 << 21
 # --- fingerprints ------------------------------------------------------------------
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
     """XXH64 of each shingle of the words of ``text``; the whole text where it is shorter."""
     words = text.lower().split()
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :])]
+    return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,18 +239,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return placed.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, row, fp, component_id) of every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links of 4 or fewer differing bits lead
     to. Texts that are null or have no word have fingerprint zero and link with each
     other. Rows with equal fingerprints are one node, however many they are. A component
-    without any id has a null component_id. Repeated rows are kept.
+    without any id has a null component_id. Repeated rows are kept. ``more`` gives further
+    links (a, b) between fingerprints, from the rows (doc_id, row, fp).
     """
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, "distinct_fingerprints")
-    found = connected_components(links(distinct.select("fp")))
+    near = links(distinct.select("fp"))
+    found = connected_components(near.unionByName(more(marked)) if more else near)
     root = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root")
     )

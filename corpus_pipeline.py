@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from addonscope.llm import anchors, langid, mixing, pseudonyms, tiling
+from addonscope.llm import anchors, langid, mixing, pseudonyms, resemblance, tiling
 from addonscope.llm.common import fresh, read, row_key
 from addonscope.llm.queries import PII_KEY, training
 from addonscope.session import materialize
@@ -22,9 +22,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the smallest id, nulls last.
 
-    Of repeated rows with that id and text, one stays.
+    Near are fingerprints within 4 bits, and texts that share four fifths of their
+    five-word shingles. Of repeated rows with that id and text, one stays.
     """
-    first = anchors.representatives(anchors.near_duplicates(docs))
+    marked = anchors.near_duplicates(docs, lambda rows: resemblance.links(docs, rows))
+    first = anchors.representatives(marked)
     row = fresh(docs, "row_key")
     marked = docs.withColumn(row, row_key())
     return (
