@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,16 +11,20 @@ from pyspark.sql import functions as F
 from addonscope.llm import (
     anchors,
     bilinear,
+    bond,
     langid,
     mixing,
+    orchard,
     pseudonyms,
     pstable,
     runindex,
     secret_scan,
     tiling,
     tokencount,
+    warc,
 )
 from addonscope.llm.common import read, row_key
+from addonscope.session import work_dir
 
 #: Key of the registered PII query; a production run passes its own secret.
 PII_KEY = "example key, replace in production"
@@ -108,6 +114,26 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.limited(tokencount.token_counts(read(spark, sf_dir, "documents"), path))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the deduplicated archives says, read back from them."""
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/archives-{uuid.uuid4().hex}"
+    warc.write(warc.records(read(spark, sf_dir, "pages")), path)
+    found = warc.resolve(warc.read(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code, its error, its label's error, and the digest of the codebooks."""
+    return orchard.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; some labels are moved on by one first."""
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def _kind_sql(number: int, rule: secret_scan.Rule) -> str:
     """Spans of one rule: what lies between matches gives their places."""
     pattern = rule.pattern.replace("'", "''")
@@ -174,6 +200,88 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+           ((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '')
+           AS payload_digest
+  FROM hashed),
+ranked AS (
+  SELECT *, row_number() OVER w AS n, first_value(page_id) OVER w AS original
+  FROM coded WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN original END AS refers_to
+FROM ranked
+"""
+
+_USABLE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE_SQL = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _assigned_sql(name: str, books: str) -> str:
+    """Nearest entry and squared distance of every part: the least distance * 64 + index."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT vec_id, label, p, any_value(q) AS q, CAST(min(packed) % 64 AS INT) AS e, CAST(min(packed) // 64 AS BIGINT) AS d
+  FROM (SELECT s.vec_id, s.label, s.p, s.q,
+               list_sum(list_transform(list_zip(s.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.e AS packed
+        FROM split s JOIN {books} b ON s.p = b.p)
+  GROUP BY vec_id, label, p)"""
+
+
+def _moved_sql(name: str, books: str, assigned: str) -> str:
+    """Entries after one round: floored means position by position, unused ones as they were."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.q, b.q) AS q
+  FROM {books} b LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY i) AS q
+    FROM (SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+          FROM (SELECT p, e, unnest(q) AS x, unnest(range(len(q))) AS i FROM {assigned}) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+
+CODES_SQL = f"""
+WITH whole AS (SELECT vec_id, label, {_WHOLE_SQL} AS v FROM embeddings WHERE {_USABLE_SQL}),
+split AS MATERIALIZED (
+  SELECT vec_id, label, CAST(p AS INT) AS p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS q
+  FROM (SELECT *, unnest(range(16)) AS p FROM whole)),
+books AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INT) AS e, q
+  FROM split WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT 64)),
+{_assigned_sql("a1", "books")}, {_moved_sql("b1", "books", "a1")},
+{_assigned_sql("a2", "b1")}, {_moved_sql("b2", "b1", "a2")},
+{_assigned_sql("a3", "b2")},
+codes AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a3 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM codes
+"""
+
+NEGATIVES_SQL = f"""
+WITH rows AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE_SQL}),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON r.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+ AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -185,5 +293,14 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_simhash": op9_simhash,
     "op10_token_count": op10_token_count,
+    "op11_warc": op11_warc,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+ORACLES = {
+    "op1_secret_scan": SECRETS_SQL,
+    "op7_mixing": MIXING_SQL,
+    "op11_warc": WARC_SQL,
+    "op12_vector_codes": CODES_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
-ORACLES = {"op1_secret_scan": SECRETS_SQL, "op7_mixing": MIXING_SQL}
