@@ -162,40 +162,113 @@ def line_offset(text: Column, position: Column) -> Column:
     return F.length(before) - F.length(F.translate(before, "\n", ""))
 
 
-# Tokens that end with a character (or keyword) that matters, or with the text.
+# Tokens that end with a bracket, or with the text.
 _BRACKETS = r"[^\[({\])}]*+[\[({\])}]"
-_SEPARATORS = r"(?:(?!\blambda\b)[^\[({\])},:])*+(?:[\[({\])},:]|\blambda\b)"
+# Bracket pairs without brackets inside, and what lies between them.
+_PAIRS = r"[\[({][^\[({\])}]*+[\])}]|[^\[({]++|[\[({]"
+_LAMBDA = r"\blambda\b(?:(?!\blambda\b)[^:])*+(?:\blambda\b[^:]*+:[^:]*+)?:?"
+_LAMBDAS = _LAMBDA + r"|(?s:(?!\blambda\b).)++"
 
 
 def _depth_change(end: Column) -> Column:
     return F.when(end.isin("(", "[", "{"), 1).when(end.isin(")", "]", "}"), -1).otherwise(0)
 
 
+def _deepest(masked: Column) -> Column:
+    """How deep brackets are nested."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + _depth_change(F.right(token, F.lit(1)))
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+
+    tokens = F.regexp_extract_all(masked, F.lit(_BRACKETS), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda acc: acc["most"])
+
+
+def top_level(masked: Column) -> Column:
+    """Equally long text with everything inside brackets filled, brackets included.
+
+    Each round fills the innermost pairs, so there are as many rounds as levels.  After
+    a bracket that has no partner all is filled.
+    """
+
+    def filled(acc: Column, _: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.regexp_extract_all(acc, F.lit(_PAIRS), F.lit(0)),
+                lambda t: F.when(
+                    F.left(t, F.lit(1)).isin("(", "[", "{") & (F.length(t) > 1),
+                    F.repeat(F.lit(STRING_FILL), F.length(t)),
+                ).otherwise(t),
+            ),
+            "",
+        )
+
+    closed = F.when(
+        masked.rlike(r"[\[({\])}]"),
+        let(
+            _deepest(masked),
+            lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), masked, filled)).otherwise(masked),
+        ),
+    ).otherwise(masked)
+    return let(
+        closed,
+        lambda text: F.when(
+            text.rlike(r"[\[({\])}]"),
+            F.rpad(F.regexp_extract(text, r"^[^\[({\])}]*+", 0), F.length(text), STRING_FILL),
+        ).otherwise(text),
+    )
+
+
 def _top_level_commas(masked: Column) -> Column:
     """Positions of the commas outside all brackets and lambda parameter lists."""
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("params"), F.lit(0).alias("pos"),
-        F.array().cast("array<int>").alias("hits"),
-    )
 
-    def step(acc: Column, token: Column) -> Column:
-        end = F.right(token, F.lit(1))
-        top = acc["depth"] == 0
-        pos = acc["pos"] + F.length(token)
-        return F.struct(
-            (acc["depth"] + _depth_change(end)).alias("depth"),
-            F.when(top & (end == "a"), acc["params"] + 1)
-            .when(top & (end == ":") & (acc["params"] > 0), acc["params"] - 1)
-            .otherwise(acc["params"])
-            .alias("params"),
-            pos.alias("pos"),
-            F.when(
-                top & (end == ",") & (acc["params"] == 0), F.array_append(acc["hits"], pos)
-            ).otherwise(acc["hits"]).alias("hits"),
+    def without_parameters(text: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.regexp_extract_all(text, F.lit(_LAMBDAS), F.lit(0)),
+                lambda t: F.when(t.rlike(r"^lambda\b"), F.translate(t, ",", STRING_FILL)).otherwise(t),
+            ),
+            "",
+        )
+
+    def positions(text: Column) -> Column:
+        plain = F.when(F.contains(text, F.lit("lambda")), without_parameters(text)).otherwise(text)
+        # characters beyond the basic plane are two for a split
+        single = F.regexp_replace(plain, r"[^\x00-\x{FFFF}]", STRING_FILL)
+        places = F.transform(F.split(single, ""), lambda c, i: F.when(c == ",", i + 1))
+        return F.when(F.contains(plain, F.lit(",")), F.array_compact(places)).otherwise(
+            F.array().cast("array<int>")
         )
 
-    tokens = F.regexp_extract_all(masked, F.lit(_SEPARATORS), F.lit(0))
-    return F.aggregate(tokens, start, step, lambda acc: acc["hits"])
+    return let(top_level(masked), positions)
+
+
+#: Characters of a block of a long text: a piece is cut out of the blocks it lies in.
+_BLOCK = 2048
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """``ARRAY<STRING>``: the pieces of a text at ``ARRAY<STRUCT<pos, size>>``, 1-based.
+
+    A position in a long text is found by counting characters from its start, so the text
+    is cut into blocks first and each piece out of its blocks.
+    """
+
+    def pieces(blocks: Column) -> Column:
+        def piece(x: Column) -> Column:
+            first = F.floor((x["pos"] - 1) / _BLOCK).cast("int")
+            last = F.floor((x["pos"] + x["size"] - 2) / _BLOCK).cast("int")
+            own = F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0)))
+            return F.substr(F.array_join(own, ""), x["pos"] - first * _BLOCK, x["size"])
+
+        return F.transform(spans, piece)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return F.when(
+        F.length(text) <= _BLOCK, F.transform(spans, lambda x: F.substr(text, x["pos"], x["size"]))
+    ).otherwise(let(blocks, pieces))
 
 
 def closing_position(masked: Column) -> Column:
@@ -246,27 +319,28 @@ def split_args(code: Column, masked: Column) -> Column:
     the given text; pieces of blanks only are dropped.
     """
 
-    def cut(bounds: Column) -> Column:
-        spans = F.transform(
+    def spans(bounds: Column) -> Column:
+        return F.transform(
             F.sequence(F.lit(1), F.size(bounds) - 1),
             lambda i: F.struct(
                 (F.element_at(bounds, i) + 1).alias("pos"),
                 (F.element_at(bounds, i + 1) - F.element_at(bounds, i) - 1).alias("size"),
             ),
         )
-        return F.transform(
+
+    def pieces(spans: Column) -> Column:
+        return F.zip_with(
+            F.arrays_zip(cut(code, spans).alias("code"), cut(masked, spans).alias("masked")),
             spans,
-            lambda x: F.struct(
-                F.substr(code, x["pos"], x["size"]).alias("code"),
-                F.substr(masked, x["pos"], x["size"]).alias("masked"),
-                x["pos"].alias("pos"),
+            lambda x, span: F.struct(
+                x["code"].alias("code"), x["masked"].alias("masked"), span["pos"].alias("pos")
             ),
         )
 
     bounds = F.concat(
         F.array(F.lit(0)), _top_level_commas(masked), F.array(F.length(masked) + 1)
     )
-    return F.filter(let(bounds, cut), lambda p: p["masked"].rlike(r"\S"))
+    return F.filter(let(let(bounds, spans), pieces), lambda p: p["masked"].rlike(r"\S"))
 
 
 def strip(text: Column) -> Column:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from addonscope.fixed_values import COMMENT_FILL, LEGACY_BASES, MODERN_BASES
 from addonscope.functions import pytext
+from addonscope.operators.scopes import innermost_blocks
 
 FILE_KEY = ["repo", "path"]
+#: Source text of a partition; as lines with their masks it is several times as large.
+PARTITION_BYTES = 32 << 20
 
 _BASES = "|".join(b.replace(".", r"\.") for b in LEGACY_BASES + MODERN_BASES)
 
@@ -44,18 +47,27 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def _text_partitions(files: DataFrame) -> int:
+    """Partitions of about ``PARTITION_BYTES`` of text, at least what the session asks for."""
+    spark = files.sparkSession
+    size = "size" if "size" in files.columns else F.octet_length("content")
+    total = files.agg(F.sum(size)).first()[0] or 0
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+        -(-total // PARTITION_BYTES),
+    )
+
+
 def lexed_lines(files: DataFrame) -> DataFrame:
     """Lines of the files with their masked form, spread by file.
 
-    The partition number is given, because a few bytes of shuffled text become
-    many lines: sized by bytes, the partitions would be too large.
+    The partition number follows from the text, because a few bytes of shuffled
+    text become many lines: sized by the bytes of the shuffle, the partitions
+    would be too large.
     """
-    spark = files.sparkSession
-    partitions = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
     return (
-        files.repartition(partitions, *FILE_KEY)
+        files.repartition(_text_partitions(files), *FILE_KEY)
         # Per file, below the explode: not once per line.
         .select(*FILE_KEY, import_style(F.col("content")).alias("style"), "content")
         .select(
@@ -128,69 +140,54 @@ def statement_lines(lines: DataFrame) -> DataFrame:
 
 
 def _class_lines(lines: DataFrame) -> DataFrame:
-    """Adds the enclosing class and the class-level statement of every line.
-
-    A class block ends at the next statement that is not indented deeper than
-    its header.  Top-level classes and classes at a deeper level are followed
-    separately, so a nested class does not end the class around it.
+    """Adds the innermost class and the class-level statement of every line.
 
-    Windows that do not need each other share one select, hence one pass.
+    The lines of a file are brought together once, for the sweep that follows
+    classes within classes to any depth; the grouping needs no exchange.  Within
+    a class its own lines are then looked at alone, so a class inside a method
+    does not end the method around it.
     """
-    before, so_far = _frames()
+    before, _ = _frames()
     starts, level, line_no = F.col("starts"), F.col("indent"), F.col("line_no")
     is_class = starts & F.col("masked").rlike(r"^\s*class\s+\w+")
     decorates = F.col("masked").rlike(r"^\s*@")
-
-    def event(opens: Column, closes: Column) -> Column:
-        def at(is_open: bool) -> Column:
-            return F.struct(
-                line_no.alias("line"), level.alias("indent"), F.lit(is_open).alias("open")
-            )
-
-        return F.when(opens, at(True)).when(closes, at(False))
-
-    def last_of(value: Column) -> Column:
-        return F.last(value, True).over(so_far)
-
-    at_top = starts & (level == 0)
     start = F.struct(line_no.alias("line"), decorates.alias("decorates"))
-    deeper = F.coalesce(F.col("deep.open"), F.lit(False))
+    rows = _started_lines(lines).select(
+        *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts",
+        _statement().alias("stmt"),
+        F.last(F.when(starts, start), True).over(before).alias("previous"),
+        is_class.alias("opens"),
+    )
+    parts = ("line_no", "text", "masked", "indent", "starts", "stmt", "previous", "opens")
+    files = rows.groupBy(*FILE_KEY).agg(
+        F.first("style").alias("style"),
+        F.array_sort(F.collect_list(F.struct(*parts))).alias("lines"),
+    )
+    starting = F.transform(
+        F.filter("lines", lambda x: x["starts"]),
+        lambda x: F.struct(
+            x["line_no"].alias("line"), x["indent"].alias("indent"), x["opens"].alias("opens")
+        ),
+    )
+    blocks = innermost_blocks(starting, F.size("lines"))
     lines = (
-        _started_lines(lines)
-        .select(
-            "*",
-            _statement().alias("stmt"),
-            last_of(event(at_top & is_class, at_top)).alias("top"),
-            last_of(F.when(is_class & (level > 0), level)).alias("deep_level"),
-            F.last(F.when(starts, start), True).over(before).alias("previous"),
+        files.select(
+            *FILE_KEY, "style",
+            F.explode(F.arrays_zip(F.col("lines").alias("own"), blocks.alias("block"))).alias("x"),
         )
+        .where("x.block IS NOT NULL")
         .select(
-            "*",
-            last_of(
-                event(is_class & (level > 0), starts & (level <= F.col("deep_level")))
-            ).alias("deep"),
+            *FILE_KEY, "style",
+            *[F.col(f"x.own.{c}").alias(c) for c in parts if c != "opens"],
+            F.col("x.block.line").alias("class_line"),
+            F.col("x.block.indent").alias("class_indent"),
+            F.col("x.block.body").alias("body_indent"),
+            F.col("x.block.around").alias("around"),
         )
-        .select(
-            *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
-            "previous", deeper.alias("in_deep"),
-            F.when(deeper, F.col("deep")).otherwise(F.col("top")).alias("block"),
-        )
-        .where("block.open")
     )
-    first = starts & (F.col("previous.line") == F.col("block.line"))
-    body = F.struct(F.col("block.line").alias("class_line"), F.col("indent").alias("indent"))
-    own = F.when(F.col("in_deep"), F.col("deep_body")).otherwise(F.col("top_body"))
-    body_indent = F.when(
-        own["class_line"] == F.col("block.line"), own["indent"]
-    ).otherwise(F.col("block.indent") + 4)
-    is_header = line_no == F.col("block.line")
+    is_header = line_no == F.col("class_line")
     lines = lines.select(
-        "*",
-        last_of(F.when(first & ~F.col("in_deep"), body)).alias("top_body"),
-        last_of(F.when(first & F.col("in_deep"), body)).alias("deep_body"),
-    ).select(
-        *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt", "block",
-        "previous", (starts & (is_header | (level <= body_indent))).alias("member"),
+        "*", (starts & (is_header | (level <= F.col("body_indent")))).alias("member")
     )
     # A run of decorators belongs to the statement right below it.
     first = F.col("member") & (
@@ -200,12 +197,16 @@ def _class_lines(lines: DataFrame) -> DataFrame:
         line_no.alias("line"),
         F.col("masked").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(").alias("is_def"),
     )
+    of_class = (
+        Window.partitionBy(*FILE_KEY, "class_line")
+        .orderBy("line_no")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     return lines.select(
         *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
-        F.col("block.line").alias("class_line"),
-        F.col("block.indent").alias("class_indent"),
-        last_of(F.when(first, line_no)).alias("item"),
-        last_of(F.when(F.col("member") & ~decorates, head)).alias("head"),
+        "class_line", "class_indent", "around",
+        F.last(F.when(first, line_no), True).over(of_class).alias("item"),
+        F.last(F.when(F.col("member") & ~decorates, head), True).over(of_class).alias("head"),
         # Before its head, an item consists of decorators.
     ).select("*", (F.col("head.line") >= F.col("item")).alias("at_head"))
 
@@ -247,6 +248,7 @@ def _item_rows(lines: DataFrame) -> DataFrame:
         F.first("style").alias("style"),
         F.max("class_line").alias("class_line"),
         F.max("class_indent").alias("class_indent"),
+        F.first("around").alias("around"),
         F.max(F.when(F.col("at_head"), F.col("head"))).alias("head"),
         F.max(F.when(F.col("stmt").isNotNull(), F.col("line_no"))).alias("end_line"),
         F.max(F.when(in_head, F.col("line_no"))).alias("head_end"),
@@ -296,6 +298,21 @@ def _item_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+def _with_outer(items: DataFrame) -> DataFrame:
+    """Adds a row without content for every class around the class of a statement.
+
+    It takes the end of the statement to those classes; items outside nested classes
+    stay alone.
+    """
+    own = F.col("of") == F.col("class_line")
+    kept = [c for c in items.columns if c not in (*FILE_KEY, "line", "end_line", "class_line", "class_indent", "around")]
+    content = [F.when(own, F.col(c)).alias(c) for c in kept if c != "kind"]
+    return items.select("*", F.explode("around").alias("of")).select(
+        *FILE_KEY, "line", "end_line", "class_indent", F.col("of").alias("class_line"),
+        F.when(own, F.col("kind")).otherwise("within").alias("kind"), *content,
+    )
+
+
 def _strings(code: Column) -> Column:
     """Strings of an ``_inherit`` value: one literal, a list or a tuple."""
     lit = pytext.literal(code)
@@ -318,7 +335,7 @@ def class_items(files: DataFrame) -> DataFrame:
     files = files.where(F.col("type") == "python").where(
         F.col("content").rlike(r"(?m)^[ \t]*class\s+\w+\s*\([^)]*(?:" + _BASES + ")")
     )
-    items = _item_rows(_class_lines(lexed_lines(files)))
+    items = _with_outer(_item_rows(_class_lines(lexed_lines(files))))
 
     value = F.regexp_replace("code", r"^\s*\w+\s*=", "")
     value_masked = F.regexp_replace("masked", r"^\s*\w+\s*=", "")
@@ -363,7 +380,7 @@ def class_items(files: DataFrame) -> DataFrame:
             over_class(F.when(F.col("target") == name, F.col(form))).alias("a" + name)
             for name, form in attributes.items()
         ],
-    ).where(F.regexp_extract("header", header, 2).rlike(_BASES))
+    ).where((F.col("kind") != "within") & F.regexp_extract("header", header, 2).rlike(_BASES))
     inherit = F.coalesce("a_inherit", F.array().cast("array<string>"))
     return items.select(
         *FILE_KEY,

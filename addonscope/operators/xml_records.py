@@ -1,7 +1,7 @@
 """XML data files -> views, actions, menus and record rules.
 
-Each element is cut out of its file and parsed once.  Every operator here is a
-projection: no shuffle, and one bad element costs one error row.
+A sweep over the tokens of a file finds its elements; each is parsed once.  Every
+operator here is a projection: no shuffle, and one bad element costs one error row.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from addonscope.fixed_values import (
 )
 from addonscope.functions import pytext
 from addonscope.functions import text as T
+from addonscope.operators import xml_events
 
 _ATTRIBUTES = [
     "id", "model", "name", "parent", "action", "sequence", "groups", "res_model", "view_mode",
@@ -30,7 +31,7 @@ _ATTRIBUTES = [
 ]
 _NODE = (
     ", ".join(f"_{a} STRING" for a in _ATTRIBUTES)
-    + ", field ARRAY<STRUCT<_name: STRING, _ref: STRING, _eval: STRING, _VALUE: STRING>>"
+    + ", field ARRAY<STRUCT<_name: STRING, _ref: STRING, _eval: STRING, _type: STRING, _VALUE: STRING>>"
     + ", bad STRING"
 )
 _OPTIONS = {
@@ -39,46 +40,31 @@ _OPTIONS = {
     "ignoreSurroundingSpaces": "false",
     "nullValue": "\u0001",
 }
-# A record reaches to its end tag, or where that is missing to the next record:
-# no pattern here looks at a character twice, however broken the file is.
-_ELEMENT = (
-    r"<record(?=[\s/>])[^>]*?"
-    r"(?:/>|>[^<]*+(?:<(?!/?record[\s/>])[^<]*+)*+(?:</record\s*>)?)"
-    r"|<(?:menuitem|act_window|report)(?=[\s/>])[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+>"
-)
-_COMMENT = r"(?s)<!--(?:.*?-->|.*)"
 
 
 def xml_elements(files: DataFrame) -> DataFrame:
-    """All ``record``, ``menuitem``, ``act_window`` and ``report`` elements, in order.
+    """All ``record``, ``menuitem``, ``act_window`` and ``report`` elements, in order, and errors.
 
-    ``node`` is the parsed element; on a malformed one ``node.bad`` holds its text.
+    ``line`` is where an element begins.  ``node`` is the parsed element; on a malformed one
+    ``node.bad`` holds its text.  ``inner`` holds the XML inside the fields of a record that
+    hold XML, by their place.  Errors between the elements have the tag ``error``.
     """
-    clean = F.regexp_replace("content", _COMMENT, "")
-    tag = F.regexp_extract("xml", r"^<(\w+)", 1)
-    whole = F.when(tag == "record", F.col("xml")).otherwise(
-        F.regexp_replace("xml", r"/?>$", "/>")
-    )
     return (
         files.where(F.col("type") == "xml")
+        .select("repo", "path", F.explode(xml_events.elements(F.col("content"))).alias("x"))
         .select(
-            "repo",
-            "path",
-            F.posexplode(F.regexp_extract_all(clean, F.lit(_ELEMENT), F.lit(0))).alias("pos", "xml"),
-        )
-        .select(
-            "repo", "path", "pos", tag.alias("tag"), "xml",
-            F.from_xml(whole, _NODE, _OPTIONS).alias("node"),
+            "repo", "path", "x.pos", "x.tag", "x.line", "x.bad_line", "x.xml", "x.inner",
+            F.from_xml(F.coalesce("x.flat", F.lit("<")), _NODE, _OPTIONS).alias("node"),
         )
     )
 
 
 def xml_errors(elements: DataFrame) -> DataFrame:
-    """Malformed elements as parse errors."""
+    """Malformed elements, and tags outside them that do not match, as parse errors."""
     return elements.where(F.col("node.bad").isNotNull()).select(
         "repo",
         "path",
-        F.lit(None).cast("int").alias("line"),
+        F.coalesce("bad_line", "line").alias("line"),
         F.concat(F.lit("XML parse error: "), F.col("xml")).alias("message"),
         F.lit("xml_parse_error").alias("type"),
     )
@@ -87,7 +73,8 @@ def xml_errors(elements: DataFrame) -> DataFrame:
 def xml_records(elements: DataFrame) -> DataFrame:
     """Well-formed ``record`` elements with id and model."""
     return _good(elements, "record").select(
-        "repo", "path", "pos", _attr("id").alias("id"), _attr("model").alias("model"), "xml", "node"
+        "repo", "path", "pos", "line", _attr("id").alias("id"), _attr("model").alias("model"), "xml", "inner",
+        "node",
     )
 
 
@@ -99,13 +86,21 @@ def _attr(name: str) -> Column:
     return F.coalesce(F.col(f"node._{name}"), F.lit(""))
 
 
+def _first_field(*names: str) -> Column:
+    """The first direct field of one of the names, with its inner XML."""
+    fields = F.arrays_zip(F.col("node.field").alias("own"), F.col("inner").alias("inner"))
+    return F.try_element_at(F.filter(fields, lambda f: f["own"]["_name"].isin(*names)), F.lit(1))
+
+
 def record_field(name: str) -> Column:
-    """Value of the first field of that name: ref, else eval, else text."""
-    first = F.try_element_at(
-        F.filter("node.field", lambda f: f["_name"] == name), F.lit(1)
-    )
+    """Value of the first field of that name: ref, else eval, else inner XML, else all text inside."""
+    first = _first_field(name)
+    own = first["own"]
     return F.coalesce(
-        F.nullif(first["_ref"], F.lit("")), F.nullif(first["_eval"], F.lit("")), first["_VALUE"],
+        F.nullif(own["_ref"], F.lit("")),
+        F.nullif(own["_eval"], F.lit("")),
+        F.when(own["_type"] == "xml", first["inner"]),
+        own["_VALUE"],
         F.lit(""),
     )
 
@@ -130,36 +125,9 @@ def _integer(text: Column, default: int) -> Column:
     )
 
 
-def arch(xml: Column) -> Column:
+def arch() -> Column:
     """Inner XML of the ``arch`` field of a record, nested fields included."""
-    opening = r"""<field\b[^>]*?\bname\s*=\s*["']arch["'][^>]*>"""
-    start = F.regexp_instr(xml, F.lit(opening))
-    head = F.regexp_substr(xml, F.lit(opening))
-    tokens = r"(?s)<field\b[^>]*?/>|<field\b[^>]*>|</field\s*>|[^<]++|<"
-
-    def body(tail: Column) -> Column:
-        begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
-        size = F.aggregate(
-            F.regexp_extract_all(tail, F.lit(tokens), F.lit(0)),
-            begin,
-            lambda acc, t: F.when(acc["depth"] == 0, acc).otherwise(
-                pytext.let(
-                    acc["depth"]
-                    + F.when(t.rlike(r"(?s)^</field\s*>$"), -1)
-                    .when(t.rlike(r"(?s)^<field\b.*[^/]>$|^<field>$"), 1)
-                    .otherwise(0),
-                    lambda depth: F.struct(
-                        depth.alias("depth"),
-                        (acc["size"] + F.when(depth == 0, 0).otherwise(F.length(t))).alias("size"),
-                    ),
-                )
-            ),
-            lambda acc: acc["size"],
-        )
-        return F.left(tail, size)
-
-    return F.when((start > 0) & ~head.endswith("/>"), pytext.let(
-        F.substr(xml, start + F.length(head)), body)).otherwise("")
+    return F.coalesce(_first_field("arch")["inner"], F.lit(""))
 
 
 def view_fields(arch_text: Column) -> Column:
@@ -188,7 +156,7 @@ def views(elements: DataFrame) -> DataFrame:
     rows = (
         xml_records(elements)
         .where(F.col("model") == VIEW_MODEL)
-        .withColumn("arch", arch(F.col("xml")))
+        .withColumn("arch", arch())
         .withColumn("view_name", record_field("name"))
     )
     return rows.select(

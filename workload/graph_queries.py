@@ -12,7 +12,7 @@ from addonscope.fixed_values import (
     REPORT_RELATION_CAP,
     STATE_CATEGORIES,
 )
-from addonscope.operators import graph, search
+from addonscope.operators import dependencies, graph, search
 from workload.entity_queries import _FIELDS, _STATES, MENUS
 from workload.expected import MODULE_OF, PARTS, PY
 from workload.registry import Corpus, query
@@ -286,7 +286,19 @@ def menu_nodes(c: Corpus):
     return graph.menu_nodes(c.entities["menus"]).drop("path")
 
 
-@query("menu_edges", f"WITH {_NODES} SELECT repo, parent, id AS child FROM mk WHERE NOT is_root")
+# Menus with their ids qualified by the module of their file.
+_KEYS = f"""
+{_NODES}, {MODULE_OF},
+mq AS (SELECT mk.*, regexp_extract(mo.module_path, '[^/]*$') || '.' AS prefix
+       FROM mk JOIN pt ON mk.id = 'menu_' || CAST(pt.k AS STRING) JOIN mo ON mo.s = pt.s)
+"""
+
+
+@query("menu_edges", f"""
+  WITH {_KEYS}
+  SELECT repo, parent, id AS child, prefix || parent AS parent_key, prefix || id AS child_key
+  FROM mq WHERE NOT is_root
+""")
 def menu_edges(c: Corpus):
     return graph.menu_edges(c.entities["menus"])
 
@@ -314,14 +326,16 @@ def menu_cycles(c: Corpus):
 
 
 @query("menu_diagram", f"""
-  WITH {_NODES}
-  SELECT repo, 0 AS section, 'graph TD' AS text FROM (SELECT DISTINCT repo FROM mk) r
-  UNION ALL SELECT repo, 1, '    menu_' || id || '["' || label || '"]' FROM mk
-  UNION ALL SELECT repo, 2, '    menu_' || parent || ' --> menu_' || id FROM mk WHERE NOT is_root
-  UNION ALL SELECT repo, 3, '    class menu_' || id || ' menuRoot' FROM mk WHERE is_root
-  UNION ALL SELECT repo, 3, '    class menu_' || id || ' menuBranch' FROM mk
+  WITH {_KEYS},
+  md AS (SELECT *, 'menu_' || replace(prefix || id, '.', '_') AS node,
+                'menu_' || replace(prefix || parent, '.', '_') AS above FROM mq)
+  SELECT repo, 0 AS section, 'graph TD' AS text FROM (SELECT DISTINCT repo FROM md) r
+  UNION ALL SELECT repo, 1, '    ' || node || '["' || label || '"]' FROM md
+  UNION ALL SELECT repo, 2, '    ' || above || ' --> ' || node FROM md WHERE NOT is_root
+  UNION ALL SELECT repo, 3, '    class ' || node || ' menuRoot' FROM md WHERE is_root
+  UNION ALL SELECT repo, 3, '    class ' || node || ' menuBranch' FROM md
     WHERE NOT is_root AND NOT is_leaf
-  UNION ALL SELECT repo, 3, '    class menu_' || id || ' menuLeaf' FROM mk WHERE is_leaf
+  UNION ALL SELECT repo, 3, '    class ' || node || ' menuLeaf' FROM md WHERE is_leaf
 """)
 def menu_diagram(c: Corpus):
     return graph.menu_diagram(c.entities["menus"])
@@ -370,3 +384,59 @@ def dependency_diagram(c: Corpus):
 """)
 def report_relations(c: Corpus):
     return search.report_relations(c.relationships, REPORT_RELATION_CAP)
+
+
+# A module graph with chains, branches and circles, four repositories of suppliers.
+_GRAPH = """
+  SELECT 'repo_' || CAST(s % 4 AS STRING) AS repo, 'mod_' || CAST(s AS STRING) AS module_name,
+         CASE WHEN s % 9 <> 0 THEN 'mod_' || CAST(s + 4 AS STRING) END AS next,
+         CASE WHEN s % 5 = 0 THEN 'mod_' || CAST(s + 12 AS STRING) END AS far,
+         CASE WHEN s % 11 = 0 THEN 'mod_' || CAST(s - 8 AS STRING) END AS back, 'base' AS outside
+  FROM (SELECT s_suppkey AS s FROM supplier) x
+"""
+_CLOSED = f"""
+gm AS ({_GRAPH}),
+ge AS (SELECT DISTINCT g.repo, g.module_name AS src, h.module_name AS dst
+       FROM gm g JOIN gm h ON g.repo = h.repo AND h.module_name IN (g.next, g.far, g.back)
+       WHERE g.module_name <> h.module_name),
+rs AS (SELECT repo, src, dst, 1 AS n FROM ge
+       UNION SELECT r.repo, r.src, e.dst, r.n + 1 FROM rs r JOIN ge e ON e.repo = r.repo AND e.src = r.dst
+       WHERE r.n < (SELECT count(*) / 4 + 2 FROM gm)),
+rc AS (SELECT repo, src, dst, CAST(min(n) AS INTEGER) AS steps FROM rs GROUP BY repo, src, dst)
+"""
+
+
+def _graph_modules(c: Corpus):
+    c.table("supplier").createOrReplaceTempView("supplier")
+    rows = c.spark.sql(_GRAPH)
+    return rows.select(
+        "repo", "module_name", F.array_compact(F.array("next", "far", "back", "outside")).alias("depends")
+    )
+
+
+@query("dependency_closure", f"""
+  WITH RECURSIVE {_CLOSED}
+  SELECT repo, src AS module_name, dst AS depends_on, steps FROM rc
+""")
+def dependency_closure(c: Corpus):
+    return dependencies.dependency_closure(_graph_modules(c))
+
+
+@query("load_order", f"""
+  WITH RECURSIVE {_CLOSED},
+  cp AS (SELECT g.repo, g.module_name, least(g.module_name, coalesce(min(a.dst), g.module_name)) AS component
+         FROM gm g LEFT JOIN rc a ON a.repo = g.repo AND a.src = g.module_name
+                   AND EXISTS (SELECT 1 FROM rc b WHERE b.repo = a.repo AND b.src = a.dst AND b.dst = a.src)
+         GROUP BY g.repo, g.module_name),
+  ce AS (SELECT DISTINCT e.repo, a.component AS src, b.component AS dst
+         FROM ge e JOIN cp a ON a.repo = e.repo AND a.module_name = e.src
+                   JOIN cp b ON b.repo = e.repo AND b.module_name = e.dst
+         WHERE a.component <> b.component),
+  lv AS (SELECT DISTINCT repo, component, 0 AS level FROM cp
+         UNION SELECT ce.repo, ce.src, lv.level + 1 FROM lv JOIN ce ON ce.repo = lv.repo AND ce.dst = lv.component)
+  SELECT cp.repo, module_name, cp.component, count(*) OVER (PARTITION BY cp.repo, cp.component) AS size,
+         (SELECT max(level) FROM lv WHERE lv.repo = cp.repo AND lv.component = cp.component) AS level
+  FROM cp
+""")
+def load_order(c: Corpus):
+    return dependencies.load_order(_graph_modules(c))
