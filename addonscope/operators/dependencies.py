@@ -1,17 +1,22 @@
 """Order and reach of dependencies between modules: cycles, load levels, closure.
 
-Graphs are edge tables and every round is one written table, so a module may have any number
-of dependants and a repository any number of modules.
+A repository's graph of up to ``LOCAL_EDGES`` edges is the work of one task, all such graphs
+side by side.  Larger ones are worked on as edge tables, each round one written table, so a
+module may have any number of dependants and a repository any number of modules.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from addonscope.session import materialize
 
 _NODE = ["repo", "node"]
+#: Edges of a repository that one task holds, some tens of MB.
+LOCAL_EDGES = 200_000
+_PLACED = "repo string, node string, component string, level int"
 
 
 def internal_edges(modules: DataFrame) -> DataFrame:
@@ -113,57 +118,115 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return materialize(components, "components")
 
 
-def load_order(modules: DataFrame) -> DataFrame:
-    """(repo, module_name, component, size, level) of every module name of a repository.
+def _place(edges: pd.DataFrame) -> pd.DataFrame:
+    """Components and levels of one graph in a depth-first walk.
 
-    Modules that depend on each other in a circle are one component, named by its smallest
-    module; ``size`` counts its modules.  ``level`` is 0 without dependencies inside the
-    repository, else one more than the highest level of what the component depends on, so
-    loading level by level meets every dependency that is not part of a circle.  Each round
-    takes the components whose dependencies all have a level: as many rounds as levels.
+    A component is complete when the walk leaves its first node; all it depends on is
+    complete by then, so its level is known.
     """
-    edges = materialize(internal_edges(modules), "dependencies")
-    names = modules.select("repo", F.col("module_name").alias("node")).distinct()
+    ahead: dict[str, list[str]] = {}
+    for src, dst in zip(edges["src"], edges["dst"]):
+        ahead.setdefault(src, []).append(dst)
+        ahead.setdefault(dst, [])
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    component: dict[str, str] = {}
+    level: dict[str, int] = {}
+    path: list[str] = []
+    for root in ahead:
+        walk = [] if root in number else [(root, iter(ahead[root]))]
+        while walk:
+            node, rest = walk[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                path.append(node)
+            for dst in rest:
+                if dst not in number:
+                    walk.append((dst, iter(ahead[dst])))
+                    break
+                if dst not in component:
+                    low[node] = min(low[node], number[dst])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = len(path) - 1
+                    while path[at] != node:
+                        at -= 1
+                    members, path = path[at:], path[:at]
+                    needs = [level[d] for m in members for d in ahead[m] if d in component]
+                    first, own = min(members), 1 + max(needs, default=-1)
+                    for m in members:
+                        component[m], level[m] = first, own
+    return pd.DataFrame(
+        {"repo": edges["repo"].iloc[0], "node": list(component), "component": component.values(), "level": level.values()}
+    )
+
+
+def _place_by_rounds(edges: DataFrame) -> DataFrame:
+    """The same of graphs of any size: components, then components raised above what they need."""
     cycles = strong_components(edges)
     members = materialize(
-        names.join(cycles, _NODE, "left").withColumn("component", F.coalesce("component", "node")), "members"
+        _nodes(edges, "src", "dst").join(cycles, _NODE, "left").withColumn(
+            "component", F.coalesce("component", "node")
+        ),
+        "members",
     )
     of = lambda end: members.select("repo", F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
-    open_edges = materialize(
+    condensed = materialize(
         edges.join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"])
         .where("src_component <> dst_component")
         .select("repo", F.col("src_component").alias("src"), F.col("dst_component").alias("dst")).distinct(),
         "condensed",
     )
-    waiting = materialize(
-        members.select("repo", F.col("component").alias("node")).distinct().withColumn("after", F.lit(0)), "waiting"
+    levels = materialize(
+        members.select("repo", "component").distinct().withColumn("level", F.lit(0)), "levels"
     )
-    placed = None
-    while True:
-        blocked = _nodes(open_edges, "src").withColumn("blocked", F.lit(True))
-        marked = waiting.join(blocked, _NODE, "left")
-        ready = materialize(
-            marked.where("blocked IS NULL").select(*_NODE, F.col("after").alias("level")), "levels"
-        )
-        placed = ready if placed is None else placed.unionByName(ready)
-        hit = materialize(
-            open_edges.join(ready.withColumnRenamed("node", "dst"), ["repo", "dst"], "left"), "resolved"
-        )
-        if hit.isEmpty():
-            break
-        raised = hit.where("level IS NOT NULL").groupBy("repo", F.col("src").alias("node")).agg(
-            (F.max("level") + 1).alias("raised")
-        )
-        open_edges = hit.where("level IS NULL").select("repo", "src", "dst")
-        waiting = materialize(
-            marked.where("blocked").join(raised, _NODE, "left").select(
-                *_NODE, F.greatest("after", "raised").alias("after")
+    raised = not condensed.isEmpty()
+    while raised:
+        above = condensed.join(levels.withColumnRenamed("component", "dst"), ["repo", "dst"]).groupBy(
+            "repo", F.col("src").alias("component")
+        ).agg((F.max("level") + 1).alias("above"))
+        moved = materialize(
+            levels.join(above, ["repo", "component"], "left").select(
+                "repo", "component", F.greatest("level", "above").alias("level"),
+                (F.col("above") > F.col("level")).alias("moved"),
             ),
-            "waiting",
+            "levels",
         )
+        levels = moved.drop("moved")
+        raised = not moved.where("moved").isEmpty()
+    return members.join(levels, ["repo", "component"]).select(*_NODE, "component", "level")
+
+
+def load_order(modules: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(repo, module_name, component, size, level) of every module name of a repository.
+
+    Modules that depend on each other in a circle are one component, named by its smallest
+    module; ``size`` counts its modules.  ``level`` is 0 without dependencies inside the
+    repository, else one more than the highest level of what the component depends on, so
+    loading level by level meets every dependency that is not part of a circle.
+    """
+    edges = materialize(internal_edges(modules), "dependencies")
+    large = materialize(
+        edges.groupBy("repo").count().where(F.col("count") > local_edges).select("repo"), "large"
+    )
+    placed = edges.join(large, "repo", "left_anti").select("repo", "src", "dst").groupBy("repo").applyInPandas(
+        _place, _PLACED
+    )
+    if not large.isEmpty():
+        far = edges.join(large, "repo", "left_semi").select("repo", "src", "dst")
+        placed = placed.unionByName(_place_by_rounds(materialize(far, "dependencies")))
+    names = modules.select("repo", F.col("module_name").alias("node")).distinct()
+    members = materialize(
+        names.join(placed, _NODE, "left").select(
+            *_NODE, F.coalesce("component", "node").alias("component"), F.coalesce("level", F.lit(0)).alias("level")
+        ),
+        "members",
+    )
     sizes = members.groupBy("repo", "component").agg(F.count("*").alias("size"))
-    levels = placed.withColumnRenamed("node", "component")
-    return members.join(sizes, ["repo", "component"]).join(levels, ["repo", "component"]).select(
+    return members.join(sizes, ["repo", "component"]).select(
         "repo", F.col("node").alias("module_name"), "component", "size", "level"
     )
 

@@ -107,7 +107,7 @@ def _executed(call: Column) -> Column:
 
 
 def _injected_sql() -> Column:
-    """First statement that executes SQL put together by string formatting.
+    """Statements that execute SQL put together by string formatting.
 
     The formatting is in the call itself, or the call executes a variable that
     an earlier statement of the body assigned such a text to.  Statements are
@@ -133,7 +133,7 @@ def _injected_sql() -> Column:
             lambda c: F.struct(c["line"].alias("line"), _executed(c).alias("arg")),
         )
 
-        def first(names: Column) -> Column:
+        def among(names: Column) -> Column:
             def bad(c: Column) -> Column:
                 arg = c["arg"]["masked"]
                 since = F.try_element_at(names, F.regexp_extract(arg, r"^\s*(\w+)\s*$", 1))
@@ -143,10 +143,10 @@ def _injected_sql() -> Column:
                     .otherwise(False)
                 )
 
-            return F.try_element_at(F.filter(calls, bad), F.lit(1))["line"]
+            return F.transform(F.filter(calls, bad), lambda c: c["line"])
 
         # The map keeps the last value in order of lines turned round: the first line.
-        return pytext.let(pytext.last_wins_map(F.reverse(built)), first)
+        return pytext.let(pytext.last_wins_map(F.reverse(built)), among)
 
     return F.when(
         F.exists("lines", lambda x: F.contains(x["masked"], F.lit("cr.execute"))),
@@ -155,40 +155,40 @@ def _injected_sql() -> Column:
 
 
 def _in_loop(pattern: str) -> Column:
-    """First line inside a ``for`` block that matches, found in one pass.
+    """Lines inside ``for`` blocks that match, found in one pass.
 
-    Only the outermost open loop matters, so the state is three numbers.
+    Only the outermost open loop matters, so besides the hits the state is two numbers.
     """
     nothing = F.lit(-1)
-    start = F.struct(nothing.alias("loop"), nothing.alias("head"), nothing.alias("hit"))
+    start = F.struct(
+        nothing.alias("loop"), nothing.alias("head"), F.array().cast("array<int>").alias("hits")
+    )
 
     def step(acc: Column, x: Column) -> Column:
         is_for = x["starts"] & x["masked"].rlike(r"^\s*(?:async\s+)?for\b")
         outside = x["starts"] & ((acc["loop"] < 0) | (x["indent"] <= acc["loop"]))
         loop = F.when(outside, F.when(is_for, x["indent"]).otherwise(-1)).otherwise(acc["loop"])
         head = F.when(outside & is_for, x["line_no"]).otherwise(acc["head"])
-        hit = (
-            (acc["hit"] < 0) & (loop >= 0) & (x["stmt"] != head) & x["masked"].rlike(pattern)
-        )
+        hit = (loop >= 0) & (x["stmt"] != head) & x["masked"].rlike(pattern)
         return F.struct(
             loop.alias("loop"),
             head.alias("head"),
-            F.when(hit, x["line_no"]).otherwise(acc["hit"]).alias("hit"),
+            F.when(hit, F.array_append(acc["hits"], x["line_no"])).otherwise(acc["hits"]).alias("hits"),
         )
 
     return F.when(
         F.exists("lines", lambda x: x["masked"].rlike(pattern)),
-        F.aggregate("lines", start, step, lambda acc: F.nullif(acc["hit"], nothing)),
+        F.aggregate("lines", start, step, lambda acc: acc["hits"]),
     )
 
 
 _SEARCH_WITHOUT_LIMIT = r"(?s)\.search\s*\((?!.*\blimit\s*=)"
-_SILENT_EXCEPT = r"(?m)\bexcept\s*(?:Exception)?\s*:\s*(?:pass|return)\b"
+_HANDLER = r"\bexcept\s*(?:Exception)?\s*:"
+_SILENT = r"\s*(?:pass|return)\b"
 
 
-def _first_line(pattern: str) -> Column:
-    found = F.filter("lines", lambda x: x["masked"].rlike(pattern))
-    return F.try_element_at(found, F.lit(1))["line_no"]
+def _lines_with(pattern: str) -> Column:
+    return F.transform(F.filter("lines", lambda x: x["masked"].rlike(pattern)), lambda x: x["line_no"])
 
 
 def _unlimited_search() -> Column:
@@ -197,42 +197,62 @@ def _unlimited_search() -> Column:
     )
     return F.when(
         F.exists("lines", lambda x: F.contains(x["masked"], F.lit(".search"))),
-        F.try_element_at(found, F.lit(1))["line"],
+        F.transform(found, lambda s: s["line"]),
     )
 
 
 def _silent_except() -> Column:
-    masked = F.array_join(
-        F.transform("lines", lambda x: pytext.blank_comments(x["masked"])), "\n"
+    """Handlers whose first statement is ``pass`` or ``return``, on their line or the next one with code."""
+    bare = F.filter(
+        F.transform("lines", lambda x: F.struct(
+            x["line_no"].alias("line_no"), pytext.blank_comments(x["masked"]).alias("masked")
+        )),
+        lambda x: x["masked"].rlike(r"\S"),
     )
-    def place(text: Column) -> Column:
-        at = F.regexp_instr(text, F.lit(_SILENT_EXCEPT))
-        return F.when(
-            (at > 0) & ~text.rlike(r"_logger\.(?:exception|error)"),
-            F.element_at("lines", pytext.line_offset(text, at) + 1)["line_no"],
-        )
+
+    def among(lines: Column) -> Column:
+        def silent(x: Column, i: Column) -> Column:
+            following = F.coalesce(F.get(lines, i + 1)["masked"], F.lit(""))
+            return x["masked"].rlike(_HANDLER + _SILENT) | (
+                x["masked"].rlike(_HANDLER + r"\s*$") & following.rlike("^" + _SILENT)
+            )
+
+        return F.transform(F.filter(lines, silent), lambda x: x["line_no"])
 
     return F.when(
-        F.exists("lines", lambda x: x["masked"].rlike(r"\bexcept\b")), pytext.let(masked, place)
+        F.exists("lines", lambda x: x["masked"].rlike(r"\bexcept\b"))
+        & ~F.exists("lines", lambda x: x["masked"].rlike(r"_logger\.(?:exception|error)")),
+        pytext.let(bare, among),
     )
 
 
 def _method_hits(methods: DataFrame) -> DataFrame:
-    """Adds, per rule about a place in the body, the line it applies to."""
+    """One row per rule about a place in a body and place that it applies to."""
     lines_with = {
         "BAD001": r"\bbrowse\s*\(\s*\[?\s*\d+\s*\]?\s*\)",
         "BAD005": r"\bcr\.commit\(\)",
         "SEC002": r"\.sudo\(\)",
     }
-    hits = {rule_id: _first_line(pattern) for rule_id, pattern in lines_with.items()}
-    hits["SEC001"] = _injected_sql()
-    hits["BAD002"] = _silent_except()
-    hits["PERF001"] = _in_loop(r"\.search\s*\(")
-    hits["PERF003"] = _unlimited_search()
-    hits["PERF004"] = _in_loop(r"\.(?:read|write)\s*\(")
-    return methods.select(
-        "*", *[hit.alias("at_" + rule_id) for rule_id, hit in hits.items()]
+    places = {rule_id: _lines_with(pattern) for rule_id, pattern in lines_with.items()}
+    places["SEC001"] = _injected_sql()
+    places["BAD002"] = _silent_except()
+    # one finding for the method, at its header
+    places["PERF001"] = F.when(
+        F.size(F.coalesce(_in_loop(r"\.search\s*\("), F.array().cast("array<int>"))) > 0, F.array("line")
     )
+    places["PERF003"] = _unlimited_search()
+    places["PERF004"] = _in_loop(r"\.(?:read|write)\s*\(")
+
+    def hits(rule_id: str, lines: Column) -> Column:
+        return F.transform(
+            F.coalesce(F.array_distinct(lines), F.array().cast("array<int>")),
+            lambda line: F.struct(
+                F.lit(rule_id).alias("hit"), line.cast("int").alias("hit_line"), _body_text(line).alias("hit_text")
+            ),
+        )
+
+    found = F.concat(*[hits(rule_id, lines) for rule_id, lines in places.items()])
+    return methods.select("repo", "path", "model", "name", F.inline(found))
 
 
 def _body_text(line: Column) -> Column:
@@ -244,14 +264,13 @@ def _body_text(line: Column) -> Column:
     )
 
 
-def _body_rule(rule_id: str, code: Callable[[], Column] | None = None, at_def: bool = False) -> Rule:
-    hit = "at_" + rule_id
+def _body_rule(rule_id: str, code: Callable[[], Column] | None = None) -> Rule:
     return Rule(
         rule_id,
-        "method",
-        when=lambda: F.col(hit).isNotNull(),
-        line=_col("line") if at_def else _col(hit),
-        code=code or (lambda: _body_text(F.col(hit))),
+        "body",
+        when=lambda: F.col("hit") == rule_id,
+        line=_col("hit_line"),
+        code=code or _col("hit_text"),
         subject=_col("name"),
         names={"method": _col("name")},
     )
@@ -300,8 +319,9 @@ def _model_rule(rule_id: str, entity: str, when: Callable[[], Column], **kwargs)
     )
 
 
-def _access_file() -> Column:
-    return F.concat("module_path", F.lit("/security/ir.model.access.csv"))
+def _in_module(name: str) -> Callable[[], Column]:
+    """A file of the module; a module may be the repository itself."""
+    return lambda: F.concat_ws("/", F.nullif("module_path", F.lit("")), F.lit(name))
 
 
 _RULES = [
@@ -317,9 +337,9 @@ _RULES = [
     _body_rule("SEC001"),
     _body_rule("SEC002", lambda: F.lit("self.sudo()")),
     _model_rule("SEC003", "unprotected_model", lambda: F.lit(True), line=lambda: F.lit(1),
-                code=_cat("model: ", _col("model")), file=_access_file),
+                code=_cat("model: ", _col("model")), file=_in_module("security/ir.model.access.csv")),
     _model_rule("SEC004", "unruled_model", lambda: F.lit(True)),
-    _body_rule("PERF001", _cat("for ... loop in ", _col("name")), at_def=True),
+    _body_rule("PERF001", _cat("for ... loop in ", _col("name"))),
     _field_rule("PERF002", lambda: _truthy("compute")
                 & ~(F.coalesce(_param("store"), F.lit("")) == "True")),
     _body_rule("PERF003"),
@@ -336,7 +356,7 @@ _RULES = [
     _body_rule("BAD005", lambda: F.lit("self.env.cr.commit()")),
     Rule("MIS001", "module", lambda: ~F.col("has_manifest"), lambda: F.lit(1), lambda: F.lit(""),
          _col("module_name"),
-         file=lambda: F.concat("module_path", F.lit("/__manifest__.py"))),
+         file=_in_module("__manifest__.py")),
     _model_rule("MIS002", "model",
                 lambda: F.col("explicit_name") & (F.trim(F.col("description")) == "")
                 & ~F.array_contains("inherit", F.col("model"))),
@@ -409,13 +429,12 @@ def issue_rows(entity: DataFrame, rules: Iterable[Rule]) -> DataFrame:
         )
 
     found = F.array_compact(F.array(*[finding(r) for r in rules]))
+    # names that differ only in replaced characters differ in the digest
+    digest = F.left(F.md5(F.concat_ws("|", "repo", "file", "entity").cast("binary")), F.lit(8))
+    plain = lambda text: F.regexp_replace(text, "[^a-zA-Z0-9]", "_")
     return entity.select("repo", F.inline(found)).select(
         F.concat_ws(
-            "_",
-            "rule_id",
-            F.regexp_replace("file", "[^a-zA-Z0-9]", "_"),
-            "line",
-            F.regexp_replace("entity", "[^a-zA-Z0-9]", "_"),
+            "_", "rule_id", plain(F.col("repo")), plain(F.col("file")), "line", plain(F.col("entity")), digest
         ).alias("id"),
         *ISSUES[1:],
     )
@@ -458,7 +477,8 @@ def rule_entities(entities: dict[str, DataFrame]) -> dict[str, Callable[[], Data
             F.col("target").isin("_columns", "_defaults")
         ),
         "field": lambda: entities["fields"],
-        "method": lambda: _method_hits(entities["methods"]),
+        "method": lambda: entities["methods"],
+        "body": lambda: _method_hits(entities["methods"]),
         "decorator": lambda: entities["methods"].select(
             "repo", "path", "model", "name", F.explode("decorator_lines").alias("d")
         ).select("*", F.col("d.line").alias("decorator_line"), F.col("d.text").alias("decorator")),

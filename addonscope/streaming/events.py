@@ -131,6 +131,6 @@ def current_findings(spark: SparkSession, findings_path: str) -> DataFrame:
         .drop("since")
     )
     issues = spark.read.parquet(f"{findings_path}/issues")
-    missing = F.regexp_extract("file", "^(.*?)/(?:security/)?[^/]*$", 1)
+    missing = F.regexp_replace("file", r"(?:^|/)(?:security/ir\.model\.access\.csv|__manifest__\.py)$", "")
     placed = issues.withColumn("module_path", F.coalesce("module_path", missing))
     return placed.join(latest, ["repo", "module_path", "batch"], "left_semi").drop("batch")

@@ -3,6 +3,8 @@
 from workload import (  # noqa: F401
     entity_queries,
     graph_queries,
+    hit_queries,
+    nested_queries,
     review_queries,
     rule_queries,
     stats_queries,

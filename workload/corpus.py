@@ -358,11 +358,13 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def derived_files(spark: SparkSession, sf_dir: str, spread=lambda rows: rows) -> DataFrame:
+def derived_files(
+    spark: SparkSession, sf_dir: str, spread=lambda rows: rows, kinds: dict | None = None
+) -> DataFrame:
     """``repo, path, content`` of all derived source files."""
     read_tables(spark, sf_dir, "part", "supplier")
     out = None
-    for rows, condition, path, lines, crlf in FILES.values():
+    for rows, condition, path, lines, crlf in (kinds or FILES).values():
         text = ", ".join(
             f"CASE WHEN {x.when} THEN {_spark(x.text)} END" if x.when else _spark(x.text)
             for x in lines
@@ -380,9 +382,9 @@ def derived_files(spark: SparkSession, sf_dir: str, spread=lambda rows: rows) ->
     return out
 
 
-def lines_sql(kind: str) -> str:
+def lines_sql(kind: str, kinds: dict | None = None) -> str:
     """SQL of every line of a kind of file: number, text, tags and findings."""
-    rows, condition, path, lines, _ = FILES[kind]
+    rows, condition, path, lines, _ = (kinds or FILES)[kind]
 
     def tag(value) -> str:
         if value is None:

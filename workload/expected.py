@@ -68,12 +68,13 @@ md AS (SELECT DISTINCT repo, module_path FROM mo),
 fi AS (
   SELECT repo, file, line, rule_id, entity FROM ({_PY_FINDINGS})
   UNION ALL
-  SELECT repo, module_path || '/security/ir.model.access.csv', 1, 'SEC003', model
+  SELECT repo, CASE WHEN module_path = '' THEN '' ELSE module_path || '/' END
+           || 'security/ir.model.access.csv', 1, 'SEC003', model
   FROM om WHERE NOT guarded
   UNION ALL
   SELECT repo, path, line, 'SEC004', model FROM om WHERE NOT ruled
   UNION ALL
-  SELECT repo, module_path || '/__manifest__.py', 1, 'MIS001', 'unknown_module'
+  SELECT repo, '__manifest__.py', 1, 'MIS001', 'unknown_module'
   FROM md WHERE module_path = ''
   UNION ALL
   SELECT repo, mod || '/__manifest__.py', 1, 'MIS003', 'mod_' || CAST(s AS STRING)
@@ -81,8 +82,10 @@ fi AS (
 """
 
 ISSUE_ID = (
-    "rule_id || '_' || regexp_replace(file, '[^a-zA-Z0-9]', '_', 'g') || '_' || "
-    "CAST(line AS STRING) || '_' || regexp_replace(entity, '[^a-zA-Z0-9]', '_', 'g')"
+    "rule_id || '_' || regexp_replace(repo, '[^a-zA-Z0-9]', '_', 'g') || '_' || "
+    "regexp_replace(file, '[^a-zA-Z0-9]', '_', 'g') || '_' || "
+    "CAST(line AS STRING) || '_' || regexp_replace(entity, '[^a-zA-Z0-9]', '_', 'g') || '_' || "
+    "left(md5(repo || '|' || file || '|' || entity), 8)"
 )
 
 

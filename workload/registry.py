@@ -30,10 +30,17 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries share, written on first use."""
+        if name not in self._kept:
+            self._kept[name] = materialize(build(), name)
+        return self._kept[name]
+
     @cached_property
     def files(self) -> DataFrame:
         return materialize(
