@@ -186,39 +186,54 @@ def _deepest(masked: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["most"])
 
 
+#: Pieces whose places are summed one after the other.
+_FEW = 64
+_ANY_BRACKET = r"[\[({\])}]"
+
+
+def _filled_pairs(text: Column) -> Column:
+    """Equally long text with the innermost bracket pairs filled."""
+    return F.array_join(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(_PAIRS), F.lit(0)),
+            lambda t: F.when(
+                F.left(t, F.lit(1)).isin("(", "[", "{") & (F.length(t) > 1),
+                F.repeat(F.lit(STRING_FILL), F.length(t)),
+            ).otherwise(t),
+        ),
+        "",
+    )
+
+
 def top_level(masked: Column) -> Column:
     """Equally long text with everything inside brackets filled, brackets included.
 
-    Each round fills the innermost pairs, so there are as many rounds as levels.  After
-    a bracket that has no partner all is filled.
+    Each round fills the innermost pairs, so there are as many rounds as levels; only
+    where two rounds leave some are the levels counted.  After a bracket that has no
+    partner all is filled.
     """
 
-    def filled(acc: Column, _: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.regexp_extract_all(acc, F.lit(_PAIRS), F.lit(0)),
-                lambda t: F.when(
-                    F.left(t, F.lit(1)).isin("(", "[", "{") & (F.length(t) > 1),
-                    F.repeat(F.lit(STRING_FILL), F.length(t)),
-                ).otherwise(t),
-            ),
-            "",
+    def once_more(text: Column, then) -> Column:
+        return F.when(text.rlike(_ANY_BRACKET), let(_filled_pairs(text), then)).otherwise(text)
+
+    def all_levels(text: Column) -> Column:
+        return let(
+            _deepest(text),
+            lambda n: F.when(
+                n > 0, F.aggregate(F.sequence(F.lit(1), n), text, lambda acc, _: _filled_pairs(acc))
+            ).otherwise(text),
         )
 
-    closed = F.when(
-        masked.rlike(r"[\[({\])}]"),
-        let(
-            _deepest(masked),
-            lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), masked, filled)).otherwise(masked),
-        ),
-    ).otherwise(masked)
-    return let(
-        closed,
-        lambda text: F.when(
-            text.rlike(r"[\[({\])}]"),
+    def deeper(text: Column) -> Column:
+        return F.when(text.rlike(_ANY_BRACKET), let(all_levels(text), without_partner)).otherwise(text)
+
+    def without_partner(text: Column) -> Column:
+        return F.when(
+            text.rlike(_ANY_BRACKET),
             F.rpad(F.regexp_extract(text, r"^[^\[({\])}]*+", 0), F.length(text), STRING_FILL),
-        ).otherwise(text),
-    )
+        ).otherwise(text)
+
+    return once_more(masked, lambda text: once_more(text, deeper))
 
 
 def _top_level_commas(masked: Column) -> Column:
@@ -235,14 +250,27 @@ def _top_level_commas(masked: Column) -> Column:
 
     def positions(text: Column) -> Column:
         plain = F.when(F.contains(text, F.lit("lambda")), without_parameters(text)).otherwise(text)
-        # characters beyond the basic plane are two for a split
-        single = F.regexp_replace(plain, r"[^\x00-\x{FFFF}]", STRING_FILL)
-        places = F.transform(F.split(single, ""), lambda c, i: F.when(c == ",", i + 1))
-        return F.when(F.contains(plain, F.lit(",")), F.array_compact(places)).otherwise(
-            F.array().cast("array<int>")
+        return let(plain, lambda x: let(F.split(x, ",", -1), lambda pieces: places(x, pieces)))
+
+    def places(text: Column, pieces: Column) -> Column:
+        # A running sum keeps all it has found at every step, so it serves few pieces.
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("hits"))
+        summed = F.aggregate(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+            start,
+            lambda acc, p: F.struct(
+                (acc["pos"] + F.length(p) + 1).alias("pos"),
+                F.array_append(acc["hits"], acc["pos"] + F.length(p) + 1).alias("hits"),
+            ),
+            lambda acc: acc["hits"],
         )
+        # characters beyond the basic plane are two for a split
+        single = F.regexp_replace(text, r"[^\x00-\x{FFFF}]", STRING_FILL)
+        looked_up = F.array_compact(F.transform(F.split(single, ""), lambda c, i: F.when(c == ",", i + 1)))
+        return F.when(F.size(pieces) <= _FEW, summed).otherwise(looked_up)
 
-    return let(top_level(masked), positions)
+    none = F.array().cast("array<int>")
+    return F.when(F.contains(masked, F.lit(",")), let(top_level(masked), positions)).otherwise(none)
 
 
 #: Characters of a block of a long text: a piece is cut out of the blocks it lies in.

@@ -139,27 +139,61 @@ def statement_lines(lines: DataFrame) -> DataFrame:
     return _started_lines(lines).select("*", _statement().alias("stmt"))
 
 
-def _class_lines(lines: DataFrame) -> DataFrame:
-    """Adds the innermost class and the class-level statement of every line.
+#: A class within a class, or a text that looks like one.
+_NESTED = r"(?m)^[ \t]+class\s+\w"
 
-    The lines of a file are brought together once, for the sweep that follows
-    classes within classes to any depth; the grouping needs no exchange.  Within
-    a class its own lines are then looked at alone, so a class inside a method
-    does not end the method around it.
-    """
+
+def _placed_lines(lines: DataFrame) -> DataFrame:
+    """Adds to started lines their statement, the one before, and whether a class opens."""
     before, _ = _frames()
-    starts, level, line_no = F.col("starts"), F.col("indent"), F.col("line_no")
-    is_class = starts & F.col("masked").rlike(r"^\s*class\s+\w+")
-    decorates = F.col("masked").rlike(r"^\s*@")
-    start = F.struct(line_no.alias("line"), decorates.alias("decorates"))
-    rows = _started_lines(lines).select(
+    starts = F.col("starts")
+    start = F.struct(
+        F.col("line_no").alias("line"), F.col("masked").rlike(r"^\s*@").alias("decorates")
+    )
+    return _started_lines(lines).select(
         *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts",
         _statement().alias("stmt"),
         F.last(F.when(starts, start), True).over(before).alias("previous"),
-        is_class.alias("opens"),
+        (starts & F.col("masked").rlike(r"^\s*class\s+\w+")).alias("opens"),
+    )
+
+
+_PARTS = ("line_no", "text", "masked", "indent", "starts", "stmt", "previous")
+
+
+def _plain_class_lines(lines: DataFrame) -> DataFrame:
+    """Lines of the classes of files without nested ones: windows over the file do."""
+    _, so_far = _frames()
+    at_top = F.struct(F.col("line_no").alias("line"), F.col("opens").alias("opens"))
+    inside = (
+        _placed_lines(lines)
+        .select(
+            "*",
+            F.last(F.when(F.col("starts") & (F.col("indent") == 0), at_top), True).over(so_far).alias("top"),
+        )
+        .where("top.opens")
+    )
+    first = F.col("starts") & (F.col("previous.line") == F.col("top.line"))
+    body = F.last(
+        F.when(first, F.struct(F.col("top.line").alias("of"), F.col("indent").alias("indent"))), True
+    ).over(so_far)
+    return inside.select("*", body.alias("body")).select(
+        *FILE_KEY, "style", *_PARTS,
+        F.col("top.line").alias("class_line"),
+        F.lit(0).alias("class_indent"),
+        F.when(F.col("body.of") == F.col("top.line"), F.col("body.indent")).otherwise(4).alias("body_indent"),
+        F.array("top.line").alias("around"),
     )
-    parts = ("line_no", "text", "masked", "indent", "starts", "stmt", "previous", "opens")
-    files = rows.groupBy(*FILE_KEY).agg(
+
+
+def _nested_class_lines(lines: DataFrame) -> DataFrame:
+    """Lines of the classes of files with classes at any depth.
+
+    The lines of a file are brought together once, for the sweep that follows
+    blocks within blocks; the grouping needs no exchange.
+    """
+    parts = (*_PARTS, "opens")
+    files = _placed_lines(lines).groupBy(*FILE_KEY).agg(
         F.first("style").alias("style"),
         F.array_sort(F.collect_list(F.struct(*parts))).alias("lines"),
     )
@@ -170,7 +204,7 @@ def _class_lines(lines: DataFrame) -> DataFrame:
         ),
     )
     blocks = innermost_blocks(starting, F.size("lines"))
-    lines = (
+    return (
         files.select(
             *FILE_KEY, "style",
             F.explode(F.arrays_zip(F.col("lines").alias("own"), blocks.alias("block"))).alias("x"),
@@ -178,13 +212,24 @@ def _class_lines(lines: DataFrame) -> DataFrame:
         .where("x.block IS NOT NULL")
         .select(
             *FILE_KEY, "style",
-            *[F.col(f"x.own.{c}").alias(c) for c in parts if c != "opens"],
+            *[F.col(f"x.own.{c}").alias(c) for c in _PARTS],
             F.col("x.block.line").alias("class_line"),
             F.col("x.block.indent").alias("class_indent"),
             F.col("x.block.body").alias("body_indent"),
             F.col("x.block.around").alias("around"),
         )
     )
+
+
+def _class_lines(lines: DataFrame, of_class: list[str]) -> DataFrame:
+    """Adds the class-level statement of every line.
+
+    ``of_class`` are the keys within which a class is looked at: where classes are
+    nested its own lines alone, so a class inside a method does not end the method
+    around it; else the file, whose order the lines have already.
+    """
+    starts, level, line_no = F.col("starts"), F.col("indent"), F.col("line_no")
+    decorates = F.col("masked").rlike(r"^\s*@")
     is_header = line_no == F.col("class_line")
     lines = lines.select(
         "*", (starts & (is_header | (level <= F.col("body_indent")))).alias("member")
@@ -197,16 +242,12 @@ def _class_lines(lines: DataFrame) -> DataFrame:
         line_no.alias("line"),
         F.col("masked").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(").alias("is_def"),
     )
-    of_class = (
-        Window.partitionBy(*FILE_KEY, "class_line")
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    so_far = Window.partitionBy(*of_class).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select(
         *FILE_KEY, "style", "line_no", "text", "masked", "indent", "starts", "stmt",
         "class_line", "class_indent", "around",
-        F.last(F.when(first, line_no), True).over(of_class).alias("item"),
-        F.last(F.when(F.col("member") & ~decorates, head), True).over(of_class).alias("head"),
+        F.last(F.when(first, line_no), True).over(so_far).alias("item"),
+        F.last(F.when(F.col("member") & ~decorates, head), True).over(so_far).alias("head"),
         # Before its head, an item consists of decorators.
     ).select("*", (F.col("head.line") >= F.col("item")).alias("at_head"))
 
@@ -335,7 +376,10 @@ def class_items(files: DataFrame) -> DataFrame:
     files = files.where(F.col("type") == "python").where(
         F.col("content").rlike(r"(?m)^[ \t]*class\s+\w+\s*\([^)]*(?:" + _BASES + ")")
     )
-    items = _with_outer(_item_rows(_class_lines(lexed_lines(files))))
+    nested = F.col("content").rlike(_NESTED)
+    plain = _class_lines(_plain_class_lines(lexed_lines(files.where(~nested))), FILE_KEY)
+    deep = _class_lines(_nested_class_lines(lexed_lines(files.where(nested))), [*FILE_KEY, "class_line"])
+    items = _item_rows(plain).drop("around").unionByName(_with_outer(_item_rows(deep)))
 
     value = F.regexp_replace("code", r"^\s*\w+\s*=", "")
     value_masked = F.regexp_replace("masked", r"^\s*\w+\s*=", "")

@@ -49,13 +49,16 @@ def tokens(content: Column) -> Column:
 
     kind: open, close, empty, broken, or NULL for what has no structure.  Text has no line.
     """
-    lines = F.split(F.translate(content, _MARK + _END_MARK, ""), "\n", -1)
+    clean = F.when(
+        F.contains(content, F.lit(_MARK)) | F.contains(content, F.lit(_END_MARK)), F.translate(content, _MARK + _END_MARK, "")
+    ).otherwise(content)
+    lines = F.split(clean, "\n", -1)
     marked = F.array_join(
         F.transform(
             lines,
-            lambda line, i: F.replace(
+            lambda line, i: F.when(F.contains(line, F.lit("<")), F.replace(
                 line, F.lit("<"), F.concat(F.lit(_MARK), (i + 1).cast("string"), F.lit(_END_MARK + "<"))
-            ),
+            )).otherwise(line),
         ),
         "\n",
     )
@@ -63,10 +66,11 @@ def tokens(content: Column) -> Column:
     def token(raw: Column, at: Column) -> Column:
         tagged = F.startswith(raw, F.lit(_MARK))
         place = F.locate(_END_MARK, raw)
+        own = F.substr(raw, place + 1)
         # sections and comments may hold further marks
-        text = F.when(
-            tagged, F.regexp_replace(F.substr(raw, place + 1), _LINE, "")
-        ).otherwise(raw)
+        text = F.when(~tagged, raw).when(
+            F.startswith(own, F.lit("<!")), F.regexp_replace(own, _LINE, "")
+        ).otherwise(own)
         line = F.when(tagged, F.substr(raw, F.lit(2), place - 2).cast("int"))
         return F.struct(text.alias("text"), line.alias("line"), at.alias("at"))
 
@@ -137,7 +141,7 @@ def _record(own: Column) -> Column:
 
         closes = top["name"] == name
         return (
-            F.when(kind.isNull() | acc["last"].isNotNull(), acc)
+            F.when(acc["last"].isNotNull(), acc)
             .when(kind == "open", change(stack=pushed))
             .when((kind == "empty") & direct, change(fields=field(t["at"])))
             .when(kind == "empty", acc)
@@ -160,7 +164,7 @@ def _record(own: Column) -> Column:
             acc["fields"].alias("fields"),
         )
 
-    return F.aggregate(own, start, step, finish)
+    return F.aggregate(F.filter(own, lambda t: t["kind"].isNotNull()), start, step, finish)
 
 
 def _unclosed(stack: Column) -> Column:
@@ -237,7 +241,7 @@ def _joined(tokens: Column) -> Column:
 def elements(content: Column) -> Column:
     """``ARRAY<STRUCT<tag, pos, line, bad_line, xml, flat, inner>>``; errors have the tag ``error``.
 
-    ``pos`` orders the elements of a file.  ``xml`` is the text of an element without
+    ``pos`` orders the elements of a file.  ``xml`` is the text of a malformed record without
     comments, or the message of an error.  ``flat`` is a well-formed record whose fields have
     lost the tags inside them and kept all text; of another element its start tag, closed.
     ``inner`` holds, in the order of the fields of a record, the XML inside those of type xml
@@ -263,7 +267,7 @@ def elements(content: Column) -> Column:
         ))
         return F.struct(
             F.lit("record").alias("tag"), r["first"].alias("pos"), r["line"].alias("line"),
-            r["bad_line"].alias("bad_line"), _joined(own).alias("xml"),
+            r["bad_line"].alias("bad_line"), F.when(r["bad_line"].isNotNull(), _joined(own)).alias("xml"),
             F.when(
                 r["bad_line"].isNull(), F.concat(start(r), F.array_join(fields, ""), F.lit("</record>"))
             ).alias("flat"),
@@ -273,7 +277,7 @@ def elements(content: Column) -> Column:
     def tag_row(t: Column) -> Column:
         return F.struct(
             t["name"].alias("tag"), t["at"].alias("pos"), t["line"].alias("line"), _nothing("int").alias("bad_line"),
-            t["text"].alias("xml"), F.regexp_replace(t["text"], r"/?>$", "/>").alias("flat"), no_inner.alias("inner"),
+            _nothing("string").alias("xml"), F.regexp_replace(t["text"], r"/?>$", "/>").alias("flat"), no_inner.alias("inner"),
         )
 
     def error_row(e: Column, size: Column, i: Column) -> Column:

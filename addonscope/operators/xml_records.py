@@ -65,7 +65,7 @@ def xml_errors(elements: DataFrame) -> DataFrame:
         "repo",
         "path",
         F.coalesce("bad_line", "line").alias("line"),
-        F.concat(F.lit("XML parse error: "), F.col("xml")).alias("message"),
+        F.concat(F.lit("XML parse error: "), F.coalesce("xml", "node.bad")).alias("message"),
         F.lit("xml_parse_error").alias("type"),
     )
 
@@ -73,8 +73,7 @@ def xml_errors(elements: DataFrame) -> DataFrame:
 def xml_records(elements: DataFrame) -> DataFrame:
     """Well-formed ``record`` elements with id and model."""
     return _good(elements, "record").select(
-        "repo", "path", "pos", "line", _attr("id").alias("id"), _attr("model").alias("model"), "xml", "inner",
-        "node",
+        "repo", "path", "pos", "line", _attr("id").alias("id"), _attr("model").alias("model"), "inner", "node",
     )
 
 

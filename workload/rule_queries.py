@@ -11,6 +11,7 @@ from addonscope.rule_texts import CATALOGUE, DEFAULT_RULES, EXPLANATIONS, FINDIN
 from addonscope.sources import sinks
 from addonscope.session import work_dir
 from workload.expected import FINDINGS as ALL_FINDINGS
+from workload.corpus import lines_sql
 from workload.expected import ISSUE_ID, values_sql
 from workload.registry import Corpus, query
 
@@ -54,12 +55,19 @@ _WORDS = values_sql(
 
 
 @query("rule_catalogue", f"""
-  SELECT rule_id, lang, severity, category, title, description, suggestion
-  FROM {_WORDS} JOIN {_LEVELS.replace("AS t(", "AS l(")} USING (rule_id)
-  WHERE (SELECT count(*) FROM part) > 0
+  WITH {ISSUES},
+  ct AS (SELECT rule_id, count(*) AS n, count(DISTINCT repo) AS n_repos FROM iss WHERE rule_id IN ({_DEFAULT})
+         GROUP BY rule_id)
+  SELECT rule_id, lang, v.severity, v.category, title, description, suggestion,
+         coalesce(n, 0) AS n, coalesce(n_repos, 0) AS n_repos
+  FROM {_WORDS} JOIN {_LEVELS.replace("AS t(", "AS v(")} USING (rule_id) LEFT JOIN ct USING (rule_id)
 """)
 def rule_catalogue(c: Corpus):
-    return rules.rule_catalogue(c.spark)
+    """The catalogue with how often each rule is found in the corpus."""
+    counts = c.issues.groupBy("rule_id").agg(
+        F.count("*").alias("n"), F.count_distinct("repo").alias("n_repos")
+    )
+    return rules.rule_catalogue(c.spark).join(counts, "rule_id", "left").fillna(0, ["n", "n_repos"])
 
 
 @query("issues_english", f"""
@@ -374,15 +382,83 @@ def report_tables(c: Corpus):
     return sheets[0].unionByName(sheets[1]).unionByName(sheets[2])
 
 
+_NOTES = [r for r in DEFAULT_RULES if r not in (
+    "SEC003", "MIS001", "MIS003", "DEP001", "DEP002", "DEP004", "DEP007", "SEC001", "BAD002", "BAD005", "DAT001")]
+
+
 @query("fixed_files", f"""
-  WITH {ISSUES}
-  SELECT DISTINCT repo, file AS path FROM iss
-  WHERE rule_id IN ({_DEFAULT}) AND rule_id NOT IN ('SEC003', 'MIS001')
+  WITH {_TEXT},
+  ds AS (SELECT * FROM worded WHERE rule_id IN ({_DEFAULT}) AND rule_id NOT IN ('SEC003', 'MIS001')),
+  fx AS (
+    SELECT d.repo, d.file, d.line, list(d.rule_id) AS rs, list(d.entity) AS es,
+           string_agg(regexp_extract(p.text, '^[ \\t]*') || '# [' || d.rule_id || '] PERHATIAN: ' || d.suggestion
+                      || chr(10), '' ORDER BY d.rule_id DESC)
+             FILTER (d.rule_id IN ({", ".join(f"'{r}'" for r in _NOTES)})) AS notes
+    FROM ds d JOIN py p ON p.repo = d.repo AND p.path = d.file AND p.line = d.line
+    GROUP BY d.repo, d.file, d.line),
+  ln AS (
+    SELECT p.repo, p.path, p.line, p.text, p.pname, p.z, notes, coalesce(rs, []) AS rs, coalesce(es, []) AS es
+    FROM py p LEFT JOIN fx ON fx.repo = p.repo AND fx.file = p.path AND fx.line = p.line
+    WHERE EXISTS (SELECT 1 FROM ds WHERE ds.repo = p.repo AND ds.file = p.path)),
+  nw AS (
+    SELECT repo, path, line, CASE
+      WHEN list_contains(rs, 'DEP001') THEN NULL
+      ELSE coalesce(notes, '') || CASE
+        WHEN list_contains(rs, 'DEP002') THEN
+          '    # FIXED: Dekorator @api.one dihapus. Gunakan perulangan di dalam method.'
+        WHEN list_contains(rs, 'DEP004') THEN replace(text, 'osv.osv', 'models.Model')
+        WHEN list_contains(es, 'owner_id') THEN
+          '        ''owner_id'': fields.Many2one(''res.users'', ''Owner'', ondelete=''set null''),'
+        WHEN list_contains(rs, 'DEP007') THEN replace(text, 'fields.char', 'fields.Char')
+        WHEN list_contains(rs, 'BAD002') THEN '        except Exception as e:' || chr(10)
+          || '            _logger.exception(''Terjadi error: %s'', str(e))'
+        WHEN list_contains(rs, 'BAD005') THEN
+          '        pass  # DIHAPUS: self.env.cr.commit() - Odoo mengelola transaksi secara otomatis'
+        WHEN list_contains(rs, 'SEC001') AND z % 13 = 0 THEN
+          '        self.env.cr.execute("SELECT * FROM t WHERE id = %s", (self.id,))'
+        WHEN list_contains(rs, 'SEC001') THEN
+          text || '  # FIXED: Gunakan parameterized query di sini untuk mencegah SQL Injection!'
+        WHEN text = '        string=''Partner: ' || pname || ''',' AND z % 3 <> 0 THEN
+          rtrim(text, ',') || ', ondelete=''set null'''
+        ELSE text END
+      END AS text
+    FROM ln),
+  ml AS ({lines_sql("manifest")}),
+  mf AS (SELECT repo, file FROM ds WHERE rule_id = 'MIS003')
+  SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS fixed_content FROM nw GROUP BY repo, path
+  UNION ALL
+  SELECT m.repo, m.path, string_agg(
+           x.text || CASE WHEN x.text = '{{' THEN chr(10) || '    ''license'': ''LGPL-3'',' ELSE '' END,
+           chr(10) ORDER BY line_no)
+  FROM ml m JOIN mf ON mf.repo = m.repo AND mf.file = m.path GROUP BY m.repo, m.path
 """)
 def fixed_files(c: Corpus):
-    """Rewritten files as written, read back."""
+    """Whole rewritten files as written, read back."""
     path = _out(c, "fixed")
     sinks.write_fixed_files(c.fixed, path)
-    return c.spark.read.parquet(path).where("fixed_content <> ''").select("repo", "path")
+    return c.spark.read.parquet(path).select("repo", "path", "fixed_content")
 
 
+@query("registered_rule", f"""
+  WITH {ALL_FINDINGS}
+  SELECT 'OWN001_' || repo AS place, path AS file, line, name AS field, 'warning' AS severity, 'Own rule' AS title,
+         pname || ': stored without index' AS description
+  FROM py WHERE kind = 'field' AND name = 'amount' AND z % 2 = 0
+""")
+def registered_rule(c: Corpus):
+    """Findings of a rule that a user registers: a stored computed number."""
+    own: dict[str, rules.Rule] = {}
+    param = lambda key: F.try_element_at("params", F.lit(key))
+    rules.register_rule(
+        "OWN001", "field", (F.col("type") == "Float") & (param("store") == "True") & param("compute").isNotNull(),
+        "warning", "performance", "Own rule", "stored without index", "add an index", code=F.col("name"), rules=own,
+    )
+    c.table("part").createOrReplaceTempView("part")
+    names = c.table("part").select(
+        F.concat(F.lit("m_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("name"), "p_name"
+    )
+    found = rules.detect(c.entities, ["OWN001"], own).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    return found.join(names, "name").select(
+        F.concat("rule_id", F.lit("_"), "repo").alias("place"), "file", "line", F.col("code").alias("field"), "severity",
+        "title", F.concat("p_name", F.lit(": "), "description").alias("description"),
+    )
