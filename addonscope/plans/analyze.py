@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addonscope.functions import text as T
@@ -20,7 +20,14 @@ from addonscope.operators import (
 )
 from addonscope.rule_texts import DEFAULT_RULES
 from addonscope.session import materialize
-from addonscope.sources.corpus import classify, unique_files
+from addonscope.sources.corpus import (
+    archive_errors,
+    classify,
+    rejected_files,
+    scan_archives,
+    scan_corpus,
+    unique_files,
+)
 
 
 def extract(files: DataFrame) -> dict[str, DataFrame]:
@@ -100,3 +107,16 @@ def analyze(files: DataFrame, rule_ids: Iterable[str] = tuple(DEFAULT_RULES)) ->
         "issues": issues,
         "stats": stats.stats(tables, issues),
     }
+
+
+def analyze_tree(
+    spark: SparkSession, root: str, max_bytes: int | None = None, rule_ids: Iterable[str] = tuple(DEFAULT_RULES)
+) -> dict[str, DataFrame]:
+    """The whole analysis of a folder of repositories, zip archives in it included.
+
+    ``parse_errors`` also holds the files that were left out and what could not be read.
+    """
+    files = scan_corpus(spark, root, max_bytes).unionByName(scan_archives(spark, root, max_bytes))
+    tables = analyze(files, rule_ids)
+    left_out = rejected_files(spark, root, max_bytes).unionByName(archive_errors(spark, root, max_bytes))
+    return {**tables, "parse_errors": tables["parse_errors"].unionByName(left_out)}

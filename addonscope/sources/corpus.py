@@ -91,6 +91,10 @@ def rejected_files(spark: SparkSession, root: str, max_bytes: int | None = None)
     )
 
 
+#: Entries of archives that are handed on together: their text, and how many.
+_ENTRY_BYTES, _ENTRY_ROWS = 8 << 20, 4096
+
+
 def _expand(max_bytes: int | None):
     """Entries of archives: their text, or why there is none."""
 
@@ -115,23 +119,28 @@ def _expand(max_bytes: int | None):
                     continue
                 yield info.filename, body, info.file_size, None
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["repo", "archive", "path", "content", "size", "problem"])
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for repo, path, raw in zip(batch["repo"], batch["path"], batch["content"]):
                 for name, body, size, problem in entries(raw):
-                    yield pd.DataFrame(
-                        {
-                            "repo": [repo], "archive": [path], "path": [name], "content": [body],
-                            "size": [size], "problem": [problem],
-                        }
-                    )
+                    rows.append((repo, path, name, body, size, problem))
+                    held += len(body or "")
+                    if held >= _ENTRY_BYTES or len(rows) >= _ENTRY_ROWS:
+                        yield table(rows)
+                        rows, held = [], 0
+        yield table(rows)
 
     return expand
 
 
-def _archive_entries(spark: SparkSession, root: str, max_bytes: int | None) -> DataFrame:
+def archives_at(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """(repo, path, content) of the zip archives under ``root``."""
     repo, path = _located(root)
-    archives = (
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _any_case_glob([ARCHIVE_EXTENSION]))
@@ -139,7 +148,10 @@ def _archive_entries(spark: SparkSession, root: str, max_bytes: int | None) -> D
         .where(_within(F.col("length"), max_bytes))
         .select(repo.alias("repo"), path.alias("path"), "content")
     )
-    entries = archives.mapInPandas(
+
+
+def _archive_entries(archives: DataFrame, max_bytes: int | None) -> DataFrame:
+    entries = archives.select("repo", "path", "content").mapInPandas(
         _expand(max_bytes),
         "repo STRING, archive STRING, path STRING, content STRING, size BIGINT, problem STRING",
     )
@@ -147,24 +159,24 @@ def _archive_entries(spark: SparkSession, root: str, max_bytes: int | None) -> D
     return entries.withColumn("repo", own)
 
 
-def scan_archives(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Text files inside the zip archives under ``root``.
+def unpack(archives: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text files inside zip archives (repo, path, content).
 
     Folders, nested archives and other kinds are skipped.  Where two entries
     share a path, one is kept.  An archive without a repository folder is its
-    own repository.  What cannot be read is in ``archive_errors``.
+    own repository.  What cannot be read is in ``unpack_errors``.
     """
-    entries = _archive_entries(spark, root, max_bytes).where("problem IS NULL")
+    entries = _archive_entries(archives, max_bytes).where("problem IS NULL")
     return unique_files(entries.drop("archive", "problem").transform(classify))
 
 
-def archive_errors(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Archives and entries that ``scan_archives`` leaves out, as parse errors."""
+def unpack_errors(archives: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Archives and entries that ``unpack`` leaves out, as parse errors."""
     inside = F.when(F.col("path") == "", F.col("archive")).otherwise(
         F.concat_ws("/", "archive", "path")
     )
     return (
-        _archive_entries(spark, root, max_bytes)
+        _archive_entries(archives, max_bytes)
         .where("problem IS NOT NULL")
         .select(
             "repo",
@@ -176,6 +188,16 @@ def archive_errors(spark: SparkSession, root: str, max_bytes: int | None = None)
     )
 
 
+def scan_archives(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Text files inside the zip archives under ``root``: see ``unpack``."""
+    return unpack(archives_at(spark, root, max_bytes), max_bytes)
+
+
+def archive_errors(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """What ``scan_archives`` leaves out: see ``unpack_errors``."""
+    return unpack_errors(archives_at(spark, root, max_bytes), max_bytes)
+
+
 def classify(files: DataFrame) -> DataFrame:
     """Adds normalized path, name and type; a given type wins over the extension."""
     path = T.normalize_path(F.col("path"))

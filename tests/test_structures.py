@@ -315,3 +315,29 @@ def test_every_rewritten_file_parses(spark):
             ast.parse(r.fixed_content)
             checked += 1
     assert checked > 200
+
+
+def test_a_folder_with_archives_and_rejected_files(spark, tmp_path):
+    import zipfile
+
+    from addonscope.plans.analyze import analyze_tree
+
+    (tmp_path / "r/m").mkdir(parents=True)
+    (tmp_path / "r/m/__manifest__.py").write_text("{'name': 'M'}")
+    (tmp_path / "r/m/a.py").write_text("class A(models.Model):\n    _name = 'a'\n")
+    (tmp_path / "r/m/logo.png").write_bytes(b"x")
+    (tmp_path / "r/m/big.txt").write_text("x" * 5000)
+    (tmp_path / "r/broken.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "q.zip", "w") as archive:
+        archive.writestr("n/__manifest__.py", "{'name': 'N'}")
+        archive.writestr("n/b.py", "class B(models.Model):\n    _name = 'b'\n")
+        archive.writestr("n/v.xml", "<odoo>\n</p>\n</odoo>")
+        archive.writestr("n/large.py", "#" * 5000)
+    tables = analyze_tree(spark, str(tmp_path), 4000, ["MIS002"])
+    assert {(r.repo, r.model) for r in tables["models"].collect()} == {("r", "a"), ("q.zip", "b")}
+    errors = {(r.repo, r.path, r.line, r.type) for r in tables["parse_errors"].collect()}
+    assert errors == {
+        ("r", "m/logo.png", None, "rejected_file"), ("r", "m/big.txt", None, "rejected_file"),
+        ("r", "broken.zip", None, "archive_error"), ("q.zip", "q.zip/n/large.py", None, "archive_error"),
+        ("q.zip", "n/v.xml", 2, "xml_parse_error"),
+    }

@@ -7,6 +7,7 @@ from workload import (  # noqa: F401
     nested_queries,
     review_queries,
     rule_queries,
+    source_queries,
     stats_queries,
     text_queries,
 )
