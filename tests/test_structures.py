@@ -328,7 +328,7 @@ def test_a_folder_with_archives_and_rejected_files(spark, tmp_path):
     (tmp_path / "r/m/logo.png").write_bytes(b"x")
     (tmp_path / "r/m/big.txt").write_text("x" * 5000)
     (tmp_path / "r/broken.zip").write_bytes(b"no archive")
-    with zipfile.ZipFile(tmp_path / "q.zip", "w") as archive:
+    with zipfile.ZipFile(tmp_path / "q.zip", "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("n/__manifest__.py", "{'name': 'N'}")
         archive.writestr("n/b.py", "class B(models.Model):\n    _name = 'b'\n")
         archive.writestr("n/v.xml", "<odoo>\n</p>\n</odoo>")
