@@ -23,8 +23,6 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 #: Steps of expectation-maximisation for one set of languages.
 STEPS = 12
-#: Languages a document can be made of.
-LANGUAGES = 4
 #: Trigrams overlap, so n of them tell about as much as n / 3 that do not.
 OVERLAP = 3.0
 
@@ -125,7 +123,7 @@ def infer(doc: np.ndarray, bucket: np.ndarray, n_docs: int, model: Model) -> np.
     best = alone.max(1)
     p = np.exp(log_p)
     active = np.arange(len(names))
-    for _ in range(min(LANGUAGES, len(model.langs)) - 1):
+    for _ in range(len(model.langs) - 1):
         rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in active])
         sizes = at[active + 1] - at[active]
         own_at = np.r_[0, np.cumsum(sizes)]

@@ -27,6 +27,8 @@ SEED = 20240229
 #: Members of a bucket that one task compares with each other; larger ones are split into
 #: cells, one for each pair of parts.
 BUCKET_ROWS = 1024
+#: What the members of a cell have in common; keys of different dimensions may be equal.
+CELL = ["dim", "place", "key", "low", "high"]
 
 
 def hash_family(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def _by_dim(vectors: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _hashed(kind: str):
-    """(name, keys) with the bucket key of each table."""
+    """(name, dim, keys): the bytes of a vector and its bucket key in each table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +105,15 @@ def _hashed(kind: str):
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keys) + 1) * TABLES, pa.int32()), pa.array(keys.ravel())
                 )
-                yield pa.RecordBatch.from_arrays([names, lists], names=["name", "keys"])
+                dims = pa.array([len(v) for v in vectors], pa.int32())
+                yield pa.RecordBatch.from_arrays([names, dims, lists], names=["name", "dim", "keys"])
 
     return work
 
 
 def _compare(kind: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["place", "key", "low", "high"], 1 << 14):
+        for table in whole_groups(batches, CELL, 1 << 14):
             yield _links(table, kind)
 
     return work
@@ -119,7 +122,7 @@ def _compare(kind: str):
 def _links(table: pa.Table, kind: str) -> pa.RecordBatch:
     """(name, links, root) of whole cells: copies linked here first, and one member linked.
 
-    Cells hold vectors of one dimension, since the key starts from it.
+    Cells hold vectors of one dimension.
     """
     place, low, high = (table[c].to_numpy() for c in ("place", "low", "high"))
     part, copies = table["part"].to_numpy(), table["copies"].to_numpy()
@@ -127,7 +130,7 @@ def _links(table: pa.Table, kind: str) -> pa.RecordBatch:
     vectors = table["vector"].to_pylist()
     flat = table["keys"].combine_chunks().flatten().to_numpy()
     keys = flat.reshape(len(names), TABLES)
-    starts = starts_of(place, table["key"].to_numpy(), low, high)
+    starts = starts_of(*(table[c].to_numpy() for c in CELL))
     links = np.zeros(len(names), np.int64)
     xs, ys = [], []
     for a, b in zip(starts, np.r_[starts[1:], len(names)]):
@@ -162,19 +165,19 @@ def _links(table: pa.Table, kind: str) -> pa.RecordBatch:
 
 
 def _cells(hashed: DataFrame) -> DataFrame:
-    """(name, place, key, part, low, high): where each vector meets others.
+    """(name, dim, place, key, part, low, high): where each vector meets others.
 
     Buckets with one member drop out. One with more than ``BUCKET_ROWS`` is cut into
     parts, and every pair of parts meets in a cell of its own.
     """
-    each = hashed.select("name", F.posexplode("keys").alias("place", "key"))
-    sizes = each.groupBy("place", "key").count().where("count > 1")
+    each = hashed.select("name", "dim", F.posexplode("keys").alias("place", "key"))
+    sizes = each.groupBy("dim", "place", "key").count().where("count > 1")
     parts = F.ceil(F.col("count") / BUCKET_ROWS).cast("int")
-    met = each.join(sizes.select("place", "key", parts.alias("parts")), ["place", "key"])
+    met = each.join(sizes.select("dim", "place", "key", parts.alias("parts")), ["dim", "place", "key"])
     met = met.withColumn("part", F.pmod(F.xxhash64("name"), "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.select(
-        "name", "place", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+        "name", "dim", "place", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
     )
 
 
@@ -197,11 +200,11 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")
     )
     classes = materialize(usable, "vector_classes")
-    hashed = materialize(classes.select("name", "vector").mapInArrow(_hashed(kind), "name binary, keys array<int>"), "bucket_keys")
+    hashed = materialize(classes.select("name", "vector").mapInArrow(_hashed(kind), "name binary, dim int, keys array<int>"), "bucket_keys")
     placed = (
-        _cells(hashed).join(hashed, "name").join(classes.select("name", "copies", "vector"), "name")
-        .repartition("place", "key", "low", "high").sortWithinPartitions("place", "key", "low", "high")
-        .select("place", "key", "low", "high", "part", "name", "copies", "keys", "vector")
+        _cells(hashed).join(hashed.drop("dim"), "name").join(classes.select("name", "copies", "vector"), "name")
+        .repartition(*CELL).sortWithinPartitions(*CELL)
+        .select(*CELL, "part", "name", "copies", "keys", "vector")
     )
     found = materialize(placed.mapInArrow(_compare(kind), "name binary, links bigint, root binary"), "vector_links")
     counts = found.groupBy("name").agg(F.sum("links").alias("links"))

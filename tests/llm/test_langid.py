@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from addonscope.llm import langid
@@ -45,3 +48,19 @@ def test_held_out_accuracy(spark):
     held = op2_language_id(spark, sf).where("held_out").join(docs, "doc_id")
     right, n = held.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
     assert n > 300 and right / n > 0.98
+
+
+def test_a_mixture_of_six_languages():
+    rng = random.Random(2)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    texts = ["".join(rng.choice(a) for _ in range(4000)) for a in alphabets]
+
+    def grams(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return langid.trigrams(raw, np.array([0, len(raw)]))
+
+    counts = np.array([np.bincount(grams(t)[1], minlength=langid.BUCKETS) for t in texts]) + langid.SMOOTHING
+    six = langid.Model(tuple(alphabets), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    shares = langid.infer(*grams(" ".join(t[:600] for t in texts)), 1, six)[0]
+    assert np.allclose(shares, 1 / 6, atol=0.03)
+    assert (langid.infer(*grams(texts[3][:600]), 1, six)[0] > 0).sum() == 1

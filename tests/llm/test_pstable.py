@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from addonscope.llm import pstable as P
 
@@ -67,3 +68,17 @@ def test_repeated_and_missing_ids(spark):
     got = sorted((r.n_links, r.component_id if r.component_id is not None else -1) for r in P.near_duplicates(df).collect())
     assert got == [(0, -1), (2, 1), (2, 1), (2, 1)]
     assert P.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_equal_keys_of_different_dimensions():
+    vectors = [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.1, 0.0], [0.0, 0.0, 1.0]]
+    vectors = sorted((np.array(v, "<f8").tobytes() for v in vectors), key=len)
+    zero = pa.array([0] * 5, pa.int32())
+    keys = pa.array([[7] * P.TABLES] * 5, pa.list_(pa.int32()))
+    table = pa.table({
+        "dim": pa.array([len(v) for v in vectors], pa.int32()), "place": zero, "key": pa.array([7] * 5, pa.int32()),
+        "low": zero, "high": zero, "part": zero, "name": pa.array([b"%d" % i for i in range(5)]),
+        "copies": pa.array([1] * 5, pa.int64()), "keys": keys, "vector": pa.array(vectors),
+    })
+    links = P._links(table, "<f8").to_pydict()
+    assert dict(zip(links["name"], links["links"])) == {b"0": 1, b"1": 1, b"3": 1, b"4": 1}
