@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+#: Folder below that of the application; see ``scratch``.
+_FOLDER: ContextVar[str] = ContextVar("folder", default="")
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -35,6 +40,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     its running tasks, and every reader prunes columns and pushes filters.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{_FOLDER.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are removed at the end; results must be written elsewhere."""
+    folder = f"scratch-{uuid.uuid4().hex}"
+    outer = _FOLDER.set(f"{folder}/")
+    try:
+        yield
+    finally:
+        _FOLDER.reset(outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{folder}"
+        )
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -14,6 +14,7 @@ from addonscope.operators import rules
 from addonscope.operators.modules import module_dirs, with_module
 from addonscope.operators.review import audit_rows
 from addonscope.plans.analyze import extract
+from addonscope.session import materialize, scratch
 
 PUSH_EVENT = (
     "repository STRUCT<full_name: STRING>, ref STRING, head_commit STRUCT<message: STRING>"
@@ -55,29 +56,55 @@ def stream_push_events(
     )
 
 
-def new_roots(arrived: DataFrame) -> DataFrame:
-    """Repositories in which a manifest arrived."""
-    return arrived.where(T.base_name(F.col("path")).isin(MANIFEST_FILES)).select("repo").distinct()
+def latest_files(changes: DataFrame, order: str = "version") -> DataFrame:
+    """The corpus that a log of changes leads to: files whose last entry is not ``deleted``.
+
+    ``order`` grows with each change of a file.  The last entries are found without the text.
+    """
+    newest = (
+        changes.groupBy("repo", "path")
+        .agg(F.max_by("deleted", order).alias("gone"), F.max(order).alias(order))
+        .where("NOT coalesce(gone, false)")
+        .drop("gone")
+    )
+    return changes.join(newest, ["repo", "path", order], "left_semi").drop(order, "deleted")
+
+
+def new_roots(changed: DataFrame) -> DataFrame:
+    """Repositories in which a manifest arrived or went."""
+    return changed.where(T.base_name(F.col("path")).isin(MANIFEST_FILES)).select("repo").distinct()
+
+
+def dirs_of(corpus: DataFrame, others: DataFrame) -> DataFrame:
+    """Modules of all folders of ``corpus`` and of the paths of ``others``, which need not exist.
+
+    Only files of the corpus can make a folder a module.
+    """
+    paths = others.select("repo", "path", F.lit(None).cast("string").alias("name")).distinct()
+    return module_dirs(corpus.select("repo", "path", "name").unionByName(paths))
 
 
-def touched_modules(corpus: DataFrame, arrived: DataFrame) -> DataFrame:
-    """All files of the modules that the arrived files belong to.
+def touched_modules(dirs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(repo, module_path)`` of the modules that the changed files belong to, or belonged to.
+
+    A manifest that comes or goes may move files between any modules of its
+    repository, so it touches them all.
+    """
+    touched = with_module(changed.select("repo", "path").distinct(), dirs).select("repo", "module_path")
+    every = dirs.select("repo", "module_path").join(new_roots(changed), "repo", "left_semi")
+    return touched.unionByName(every).distinct()
+
+
+def files_of(corpus: DataFrame, dirs: DataFrame, modules: DataFrame) -> DataFrame:
+    """All files of the given modules.
 
     Rules across files need the whole module, not only what is new.  Modules are
     found from the paths alone; with a corpus table partitioned by ``repo`` the
-    join on it prunes the text that is read to the touched repositories.  A new
-    manifest may move files between any modules of its repository, so it touches
-    them all.
+    join on it prunes the text that is read to their repositories.
     """
-    dirs = module_dirs(corpus)
-    touched = with_module(arrived.select("repo", "path").distinct(), dirs).select(
-        "repo", "module_path"
-    )
-    every = dirs.select("repo", "module_path").join(new_roots(arrived), "repo", "left_semi")
-    touched = touched.unionByName(every).distinct()
     return (
         with_module(corpus, dirs)
-        .join(touched, ["repo", "module_path"], "left_semi")
+        .join(modules, ["repo", "module_path"], "left_semi")
         .drop("module_path")
     )
 
@@ -88,24 +115,31 @@ def incremental_scan(
     findings_path: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Analyzes modules again when files of theirs arrive.
-
-    ``read_corpus`` returns the corpus including the arrived files.  Each batch
-    writes its findings as a new version of the touched repositories and modules
-    under its batch number, so a batch that runs twice overwrites itself.
+    """Analyzes modules again when files of theirs arrive, change or go.
+
+    ``arrivals`` has ``repo`` and ``path``, and may have ``deleted``: a row with it
+    true is the tombstone of that file; a file that moves is a tombstone and an
+    arrival.  ``read_corpus`` returns the corpus as it is after the changes.  Each
+    batch writes its findings as a new version of the touched repositories and
+    modules under its batch number, so a batch that runs twice overwrites itself.
+    A module or repository without any file left gets an empty version.
+    The tables between are removed after each batch.
     """
 
     def analyze_batch(batch: DataFrame, batch_id: int) -> None:
-        files = touched_modules(read_corpus(), batch)
-        entities = extract(files)
-        found = with_module(
-            rules.detect(entities).withColumn("path", F.col("file")), entities["dirs"]
-        ).drop("path")
-        found.write.mode("overwrite").parquet(f"{findings_path}/issues/batch={batch_id}")
-        whole = new_roots(batch).withColumn("whole", F.lit(True))
-        entities["modules"].select("repo", "module_path").join(whole, "repo", "left").write.mode(
-            "overwrite"
-        ).parquet(f"{findings_path}/modules/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            changed = materialize(batch.select("repo", "path").distinct(), "changed")
+            corpus = read_corpus()
+            dirs = materialize(dirs_of(corpus, changed), "folders")
+            touched = materialize(touched_modules(dirs, changed), "touched")
+            entities = extract(files_of(corpus, dirs, touched))
+            found = materialize(rules.detect(entities).withColumn("path", F.col("file")), "found")
+            # a finding may name a file that is missing, in a folder that is not there
+            placed = with_module(found, dirs_of(corpus, found.select("repo", "path"))).drop("path")
+            placed.write.mode("overwrite").parquet(f"{findings_path}/issues/batch={batch_id}")
+            whole = new_roots(changed).select("repo", F.lit("").alias("module_path"), F.lit(True).alias("whole"))
+            versions = touched.withColumn("whole", F.lit(False)).unionByName(whole)
+            versions.write.mode("overwrite").parquet(f"{findings_path}/modules/batch={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(analyze_batch)
@@ -115,22 +149,38 @@ def incremental_scan(
     )
 
 
-def current_findings(spark: SparkSession, findings_path: str) -> DataFrame:
-    """Findings of the last batch that analyzed each module.
-
-    A batch that analyzed a whole repository replaces what came before it, also
-    for modules that are no more.
-    """
+def _versions(spark: SparkSession, findings_path: str) -> DataFrame:
+    """``(repo, module_path, batch)``: the last batch of each module that is not replaced as a whole."""
     seen = spark.read.parquet(f"{findings_path}/modules")
     since = seen.where("whole").groupBy("repo").agg(F.max("batch").alias("since"))
-    latest = (
+    return (
         seen.groupBy("repo", "module_path")
         .agg(F.max("batch").alias("batch"))
         .join(since, "repo", "left")
         .where("since IS NULL OR batch >= since")
         .drop("since")
     )
+
+
+def current_findings(spark: SparkSession, findings_path: str) -> DataFrame:
+    """Findings of the last batch that analyzed each module.
+
+    A batch that analyzed a whole repository replaces what came before it, also
+    for modules that are no more.
+    """
     issues = spark.read.parquet(f"{findings_path}/issues")
-    missing = F.regexp_replace("file", r"(?:^|/)(?:security/ir\.model\.access\.csv|__manifest__\.py)$", "")
-    placed = issues.withColumn("module_path", F.coalesce("module_path", missing))
-    return placed.join(latest, ["repo", "module_path", "batch"], "left_semi").drop("batch")
+    versions = _versions(spark, findings_path)
+    return issues.join(versions, ["repo", "module_path", "batch"], "left_semi").drop("batch")
+
+
+def compact_findings(spark: SparkSession, findings_path: str, target_path: str) -> None:
+    """Writes what holds as a new store, as one version under the number of the last batch.
+
+    Replaced versions stay behind in the old store.  Scans with the same
+    checkpoint go on with the new one.
+    """
+    seen = spark.read.parquet(f"{findings_path}/modules")
+    last = seen.agg(F.max("batch")).first()[0] or 0
+    current_findings(spark, findings_path).write.parquet(f"{target_path}/issues/batch={last}")
+    versions = _versions(spark, findings_path).drop("batch").withColumn("whole", F.lit(False))
+    versions.write.parquet(f"{target_path}/modules/batch={last}")

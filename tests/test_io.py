@@ -145,6 +145,64 @@ def test_incremental_scan_replaces_touched_modules(spark, make_files, tmp_path):
     assert run() == ["c.x"]
 
 
+def test_added_moved_and_deleted_files_equal_a_full_scan(spark, make_files, tmp_path):
+    """Every rule and kind of file, after each batch; at last nothing is left."""
+    from addonscope.session import work_dir
+
+    code = (
+        "class {0}(models.Model):\n    _name = '{0}.x'\n    state = fields.selection([('a', 'A')])\n"
+        "    partner_id = fields.Many2one('res.partner')\n\n    def run(self):\n        self.env.cr.commit()\n"
+        "        self.env.cr.execute('select %s' % self.id)\n        for r in self:\n            r.search([])\n"
+        "        try:\n            pass\n        except:\n            pass\n"
+    )
+    view = "<odoo><record id='v' model='ir.ui.view'><field name='model'>{0}.x</field><field name='arch'><tree/></field></record></odoo>"
+    access = "id,name,model_id:id,group_id:id,perm_read,perm_write,perm_create,perm_unlink\nq,q,model_{0}_x,,1,1,1,1\n"
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = make_files({"x": ""}).schema.add("version", "integer").add("deleted", "boolean")
+    live: dict[str, str] = {}
+    version = [0]
+
+    def full(rows):
+        return sorted((r.rule_id, r.severity, r.file, r.line, r.entity, r.id) for r in rows.collect())
+
+    def change(added, gone=()):
+        version[0] += 1
+        log = make_files(added).withColumns({"version": F.lit(version[0]), "deleted": F.lit(False)})
+        if gone:
+            dead = make_files(dict.fromkeys(gone, "")).withColumns({"version": F.lit(version[0]), "deleted": F.lit(True)})
+            log = log.unionByName(dead) if added else dead
+        log.write.mode("append").parquet(source)
+        for path in gone:
+            del live[path]
+        live.update(added)
+        events.incremental_scan(
+            spark.readStream.schema(schema).parquet(source),
+            lambda: events.latest_files(spark.read.schema(schema).parquet(source)), out, str(tmp_path / "state"),
+        ).awaitTermination()
+        found = full(events.current_findings(spark, out))
+        assert found == (full(rules.detect(extract(make_files(live)))) if live else [])
+        return {row[0] for row in found}
+
+    files = {}
+    for m in "ab":
+        files |= {f"{m}/__manifest__.py": "{'name': '" + m + "'}", f"{m}/models/m.py": code.format(m),
+                  f"{m}/views/v.xml": view.format(m), f"{m}/security/ir.model.access.csv": access.format(m)}
+    files["loose.py"] = code.format("loose")
+    first = change(files)
+    assert first >= {"SEC001", "BAD005", "DAT001", "DEP007"} and "SEC003" in first
+    # the model moves to another module, an access file goes
+    change({"b/models/n.py": files["a/models/m.py"]}, ["a/models/m.py", "b/security/ir.model.access.csv"])
+    # a changed text; a folder that only held what is deleted
+    change({"b/models/m.py": code.format("b") + "    x = 1\n"}, ["a/views/v.xml"])
+    # a module without its manifest belongs to another
+    change({}, ["b/__manifest__.py"])
+    events.compact_findings(spark, out, str(tmp_path / "small"))
+    assert full(events.current_findings(spark, str(tmp_path / "small"))) == full(events.current_findings(spark, out))
+    change({}, sorted(live))
+    left = spark._jvm.java.io.File(f"{work_dir(spark)}/{spark.sparkContext.applicationId}").list() or []
+    assert not [name for name in left if name.startswith("scratch-")]
+
+
 def test_bad_archives_leave_rows(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "bad.zip").write_bytes(b"no zip")

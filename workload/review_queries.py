@@ -289,6 +289,45 @@ def incremental_scan(c: Corpus):
     )
 
 
+@query("incremental_deletions", """
+  SELECT CASE WHEN p_partkey % 5 = 1 THEN 'wizards' ELSE 'models' END AS folder, count(*) AS n
+  FROM part
+  WHERE p_size % 3 <> 0 AND p_partkey % 5 <> 0 AND (p_partkey % (SELECT count(*) FROM supplier)) % 4 <> 0
+  GROUP BY 1
+""")
+def incremental_deletions(c: Corpus):
+    """Many2one findings after files came, a fifth moved, a fifth went, and a fourth of the modules went whole."""
+    base = f"{work_dir(c.spark)}/{c.spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}"
+    files = c.files.where("name LIKE '%.py'")
+    key = F.regexp_extract("path", r"/m_(\d+)\.py$", 1).try_cast("int")
+    module = F.regexp_extract("path", r"/mod_(\d+)/", 1).try_cast("int")
+
+    def log(rows, version: int, deleted: bool):
+        return rows.withColumns({"version": F.lit(version), "deleted": F.lit(deleted)})
+
+    moved = files.where(key % 5 == 1)
+    batches = [
+        log(files, 1, False),
+        log(moved.withColumn("path", F.replace("path", F.lit("/models/"), F.lit("/wizards/"))), 2, False)
+        .unionByName(log(files.where((key % 5).isin(0, 1)), 2, True)),
+        log(files.where(module % 4 == 0), 3, True).unionByName(
+            log(moved.where(module % 4 == 0)
+                .withColumn("path", F.replace("path", F.lit("/models/"), F.lit("/wizards/"))), 3, True)),
+    ]
+    schema = batches[0].schema
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{base}/in")
+        streams.incremental_scan(
+            c.spark.readStream.schema(schema).parquet(f"{base}/in"),
+            lambda: streams.latest_files(c.spark.read.schema(schema).parquet(f"{base}/in")),
+            f"{base}/out", f"{base}/state",
+        ).awaitTermination()
+    streams.compact_findings(c.spark, f"{base}/out", f"{base}/small")
+    found = streams.current_findings(c.spark, f"{base}/small").where("rule_id = 'DAT001' AND entity = 'partner_id'")
+    folder = F.regexp_extract("file", r"/(models|wizards)/", 1)
+    return found.groupBy(folder.alias("folder")).agg(F.count("*").alias("n"))
+
+
 @query("scan_corpus", """
   SELECT 'source=' || source AS repo, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars
   FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) q
