@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from addonscope.operators import rules
+from addonscope.operators import data_files, rules, xml_records
 from addonscope.plans.analyze import extract
 from addonscope.session import scratch
 
@@ -46,3 +46,14 @@ def test_table_first_read_in_a_scratch_stays(make_files, spark):
     with scratch(spark):
         assert e["items"].count() > 0
     assert e["items"].count() > 0
+
+def test_xml_of_one_partition_is_spread(make_files):
+    files = make_files({f"{i}.xml": f"<odoo><record id='r{i}' model='m'></record></odoo>" for i in range(64)})
+    rows = xml_records.xml_elements(files.coalesce(1)).select("path", F.spark_partition_id().alias("part"))
+    assert rows.count() == 64 and rows.select("part").distinct().count() > 1
+
+
+def test_access_rows_of_one_partition_are_spread(make_files):
+    files = make_files({f"{i}/access.csv": "id,model_id:id,perm_read\na,model_x,1\n" for i in range(64)})
+    rows = data_files.access_rights(files.coalesce(1)).select("path", F.spark_partition_id().alias("part"))
+    assert rows.count() == 64 and rows.select("part").distinct().count() > 1
