@@ -32,7 +32,9 @@ RECORDS = (
 )
 _END = b"\r\n\r\n"
 #: Bytes of payloads that the reader gathers before it hands rows on.
-_BATCH_BYTES = 1 << 22
+_BATCH_BYTES = 1 << 20
+#: Pieces of a batch that the reader takes at a time.
+_PIECES = 256
 
 
 def base32_sha1(data: Column) -> Column:
@@ -279,13 +281,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for part in batches:
-        for file, piece in zip(part["file"].to_pylist(), part["piece"].to_pylist()):
-            for row in reader.feed(file, piece):
-                rows.append(row)
-                size += len(row[-1] or b"") + 500
-                if size >= _BATCH_BYTES:
-                    yield batch()
-                    rows, size = [], 0
+        for start in range(0, part.num_rows, _PIECES):
+            some = part.slice(start, _PIECES)
+            for file, piece in zip(some["file"].to_pylist(), some["piece"].to_pylist()):
+                for row in reader.feed(file, piece):
+                    rows.append(row)
+                    size += len(row[-1] or b"") + 500
+                    if size >= _BATCH_BYTES:
+                        yield batch()
+                        rows, size = [], 0
     rows.extend(reader.close())
     yield batch()
 
@@ -307,13 +311,15 @@ def resolve(found: DataFrame) -> DataFrame:
     (page_id, record_id, target_uri, record_type, refers_to, payload_bytes, payload_digest):
     sizes and digests come from the payloads themselves; ``refers_to`` is the page_id of the
     response. A revisit whose response is not among the records keeps its header's digest
-    and has a null size and response. Only record ids, sizes and digests are shuffled.
+    and has a null size and response. The records are read once and written without their
+    payloads; only record ids, sizes and digests are shuffled.
     """
     thin = found.select(
         "page_id", "record_id", "target_uri", "type", "refers_to_id",
         F.when(F.col("type") == "response", F.octet_length("payload").cast("bigint")).alias("bytes"),
         F.when(F.col("type") == "response", base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("digest"),
     )
+    thin = materialize(thin, "warc_read")
     original = thin.where("type = 'response'").select(
         F.col("record_id").alias("original_id"), F.col("page_id").alias("original_page"),
         F.col("bytes").alias("original_bytes"), F.col("digest").alias("original_digest"),

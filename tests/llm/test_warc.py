@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -164,3 +165,32 @@ def test_reader_follows_lengths(payloads, rng):
     reader = warc._Reader()
     rows = [row for piece in pieces for row in reader.feed("f", piece)] + list(reader.close())
     assert [row[-1].decode() for row in rows] == payloads
+
+
+def test_records_are_read_once(spark, tmp_path):
+    """Sizes and digests come from one pass over the archives, revisits included."""
+    pages = spark.createDataFrame(
+        [(1, "u", "a" * 40), (2, "v", "a" * 40), (3, None, None), (4, "w", "b\r\n\r\nc")],
+        "page_id bigint, url string, html string",
+    )
+    warc.write(warc.records(pages), f"{tmp_path}/archives")
+    found = warc.resolve(warc.read(spark, f"{tmp_path}/archives"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Scan text" not in plan
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in found.collect()} == {
+        (1, "response", None, 40), (2, "revisit", 1, 40), (3, "response", None, 0), (4, "response", None, 6),
+    }
+
+
+def test_reader_takes_a_batch_in_parts():
+    """Rows of one large batch come in batches of bounded size, and none is lost where parts meet."""
+    count = 3 * warc._PIECES + 1
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 5000
+    pieces = []
+    for i in range(count):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nPage-Id: {i}\r\nContent-Length: {len(block)}"
+        pieces += [head.encode(), *block.split(b"\r\n\r\n")]
+    part = pa.RecordBatch.from_pydict({"file": ["f"] * len(pieces), "piece": pieces})
+    out = list(warc._parse(iter([part])))
+    assert [i for b in out for i in b["page_id"].to_pylist()] == list(range(count))
+    assert max(b.nbytes for b in out) < 2 << 20
