@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from addonscope.operators import data_files, rules, xml_records
+from addonscope.operators import data_files, fixes, rules, xml_records
 from addonscope.plans.analyze import extract
 from addonscope.session import scratch
 
@@ -57,3 +57,10 @@ def test_access_rows_of_one_partition_are_spread(make_files):
     files = make_files({f"{i}/access.csv": "id,model_id:id,perm_read\na,model_x,1\n" for i in range(64)})
     rows = data_files.access_rights(files.coalesce(1)).select("path", F.spark_partition_id().alias("part"))
     assert rows.count() == 64 and rows.select("part").distinct().count() > 1
+
+
+def test_rewrites_of_one_partition_are_spread(make_files):
+    e = extract(make_files({f"{i}.py": SOURCE for i in range(64)}).coalesce(1))
+    fixed = fixes.fix_corpus(e["files"], rules.detect(e, ["BAD005", "PERF003"]))
+    written = fixed.where(F.size("fixes") == 2).select(F.input_file_name().alias("file"))
+    assert written.count() == 64 and written.distinct().count() > 1
