@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -112,3 +113,47 @@ def test_paths(spark):
     assert column(spark, ["a\\b\\c.PY", "x.xml", "d/e"], T.dir_name) == ["a/b", "", "d"]
     assert column(spark, ["a\\b\\c.PY", "noext", "d/.hidden"], T.extension) == ["py", "", "hidden"]
     assert column(spark, ["a/b", ""], T.ancestor_dirs) == [["", "a", "a/b"], [""]]
+
+
+def test_three_levels_of_brackets_take_one_round(spark):
+    texts = ["f(a, [b, {c}], ()), d", "((a)(b)) + (c", "a) (b, (c)", "((((x, y))))", "(((((a, b)))))", "[(]), (a"]
+    once = column(spark, texts, pytext._filled_pairs)
+    assert once[0] == "f" + "\u0001" * 17 + ", d"
+    assert once[1] == "\u0001" * 8 + " + (c" and once[3] == "(" + "\u0001" * 10 + ")"
+    assert [len(x) for x in once] == [len(t) for t in texts]
+    # pairs filled one level after the other lead to the same text
+    slow = []
+    for t in texts:
+        while (filled := re.sub(r"[\[({][^\[({\])}]*[\])}]", lambda m: "\u0001" * len(m[0]), t)) != t:
+            t = filled
+        slow.append(re.sub(r"[\[({\])}].*", lambda m: "\u0001" * len(m[0]), t))
+    assert column(spark, texts, pytext.top_level) == slow
+
+
+def test_characters_are_looked_for_without_a_table(spark):
+    """A translation looks every character up; these texts hold few of those that go."""
+    for form in (pytext.bracket_delta, pytext.blank_comments, lambda t: pytext.line_offset(t, F.lit(3))):
+        assert "translate" not in str(form(F.col("t")))
+    assert column(spark, ["([{x}])", ")(((", "", "a]b"], pytext.bracket_delta) == [0, 2, 0, -1]
+    assert column(spark, ["a\u0002\u0002b", None], pytext.blank_comments) == ["a  b", None]
+    assert column(spark, ["a\tcb", "éab"], lambda t: pytext.without(t, "ab\t")) == ["c", "é"]
+
+
+def test_strip_and_literals_of_odd_texts(spark):
+    texts = ["", " ", "x", "\x0b a\f\r", "a  ", "  a", "a\x85", " a ", None]
+    texts += ["- 1", "-1.5", "'", "'a' 'b'", "'''q'''", "\t'a'\n", "None", "07", "x'1'"]
+    before = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    assert column(spark, texts, pytext.strip) == column(spark, texts, before)
+    assert [(v.kind, v.text) for v in column(spark, texts, pytext.literal)[9:]] == [
+        ("raw", "- 1"), ("number", "-1.5"), ("raw", "'"), ("raw", "'a' 'b'"), ("string", "q"), ("string", "a"),
+        ("none", None), ("number", "07"), ("raw", "x'1'"),
+    ]
+
+
+def test_masks_of_closed_and_open_literals(spark):
+    texts = ["'a'", "''", "'", "'a", '"""a"""', '""""""', '"""a\nb"""', '"""', '""', "'a\\'", "x\\\ny # '", "\\"]
+    f = "\u0001"
+    assert column(spark, texts, pytext.mask_source) == [
+        f"'{f}'", "''", "'", f"'{f}", f'"""{f}"""', '""""""', f'"""{f}\n\u0003{f}"""', '"""', '""',
+        f"'{f * 2}'", "x \n\u0003y \u0002\u0002\u0002", "\\",
+    ]
