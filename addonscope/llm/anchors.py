@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from addonscope.llm.common import chunks, forest, row_key, starts_of, text_bytes, whole_groups
 from addonscope.llm.components import connected_components
-from addonscope.session import materialize
+from addonscope.session import materialize, small_batches
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -33,8 +33,8 @@ SEED = 42
 HALVES = ((0, 2), (32, 1))
 #: Homes at one anchor beyond which the anchor is split; guests go to each part.
 ANCHOR_ROWS = 4096
-#: Pairs that are compared at a time.
-PAIRS = 1 << 21
+#: Pairs that are compared at a time, and fingerprints that are placed at a time (about 70 rows each).
+PAIRS, PLACED = 1 << 19, 1024
 
 # --- fingerprints ------------------------------------------------------------------
 
@@ -177,8 +177,8 @@ def anchor_rows(hot: dict[int, int]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch["fp"].to_numpy()
-            for low in range(0, len(fps), 4096):
-                fp = fps[low : low + 4096]
+            for low in range(0, len(fps), PLACED):
+                fp = fps[low : low + PLACED]
                 for shift, threshold in HALVES:
                     index, anchor, home = guests(fp, shift, threshold)
                     parts = _parts(anchor, hot)
@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | No
     without any id has a null component_id. Repeated rows are kept. ``more`` gives further
     links (a, b) between fingerprints, from the rows (doc_id, row, fp).
     """
-    marked = materialize(fingerprints(docs), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = materialize(fingerprints(docs), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, "distinct_fingerprints")
     near = links(distinct.select("fp"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from addonscope.llm.anchors import shingle_hashes
 from addonscope.llm.common import chunks, forest, row_key, starts_of, text_bytes, whole_groups
 from addonscope.llm.components import connected_components
-from addonscope.session import materialize
+from addonscope.session import materialize, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -138,7 +138,8 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     """
     rows = docs.select(row_key().alias("row"), "text")
     sketches = rows.mapInArrow(sketch_batches(shingle), "row bigint, words bigint, size bigint, keys array<bigint>")
-    sketches = materialize(sketches, "sketches")
+    with small_batches(docs.sparkSession):
+        sketches = materialize(sketches, "sketches")
     first = sketches.groupBy("words").agg(F.min("row").alias("row")).select("row")
     classes = materialize(sketches.join(first, "row", "left_semi").dropDuplicates(["row"]), "sketch_classes")
     each = classes.select("row", F.explode("keys").alias("key"))
@@ -151,7 +152,8 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         cells.join(texts, "row").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
         .select("component", "low", "high", "part", "row", "text")
     )
-    return materialize(placed.mapInArrow(compare(shingle, similarity), "a bigint, b bigint"), "similar")
+    with small_batches(docs.sparkSession):
+        return materialize(placed.mapInArrow(compare(shingle, similarity), "a bigint, b bigint"), "similar")
 
 
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as C
 import numpy as np
 from addonscope.llm import resemblance as R
+from addonscope.session import small_batches
 
 
 def shingles(text):
@@ -81,3 +82,33 @@ def test_bands_meet_at_the_threshold():
         keys = R.band_keys(pair, np.array([0, 85]))
         missed += not (keys[0] == keys[1]).any()
     assert missed == 0
+
+
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch):
+    """Both passes over the texts hold little of them at a time; the session's setting stays."""
+    sizes = []
+    write = R.materialize
+
+    def seen(df, name):
+        sizes.append((name, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return write(df, name)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for module in (C.anchors, R):
+        monkeypatch.setattr(module, "materialize", seen)
+    docs = spark.createDataFrame(edited(), "doc_id BIGINT, text STRING")
+    C.near_duplicates(spark, docs, "").collect()
+    assert {n for n, size in sizes if size == str(1 << 20)} == {"fingerprints", "sketches", "similar"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_batches_are_cut_by_bytes(spark):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 1000) AS text")
+
+    def count(batches):
+        for batch in batches:
+            yield R.pa.RecordBatch.from_arrays([R.pa.array([batch.num_rows])], names=["n"])
+
+    with small_batches(spark):
+        sizes = [r.n for r in rows.mapInArrow(count, "n bigint").collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1200
